@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import overlap, pairing, ranking, sampling
+from tessera.llm import frequency, overlap, pairing, ranking, sampling, tokenizer, weighting
 from tessera.plans.tables import pairs, reviews, table
 
 
@@ -22,6 +22,37 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("user_id", "review_id")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of the reviews that are too rare or too common to be useful."""
+    terms = frequency.marked_terms(reviews(spark, sf_dir, "review_id", "text"), "text")
+    return terms.filter(F.col("mark").isNotNull()).select(F.col("gram").alias("term"), "mark")
+
+
+def p3_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every term of the reviews with its occurrences, its reviews and its mark."""
+    terms = frequency.marked_terms(reviews(spark, sf_dir, "review_id", "text"), "text")
+    return terms.select(F.col("gram").alias("term"), "occurrences", "records", "mark")
+
+
+def _business_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reviews(spark, sf_dir, "review_id", "business_id", "text")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 most characteristic terms of every business, by the weighting's limit n / m * log2(N / d)."""
+    best = weighting.characteristic_terms(
+        _business_texts(spark, sf_dir), "business_id", "text", top=5, stop_words=table(spark, sf_dir, "stop_words"),
+        min_letters=3, min_records=3, k1=float("inf"), b=1.0, length="max", idf="log2",
+    )
+    return best.select(F.col("record").alias("business_id"), "term")
+
+
+def p4_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 most characteristic terms of every business with k1 = 1.2 and b = 0.75."""
+    best = weighting.characteristic_terms(_business_texts(spark, sf_dir), "business_id", "text", top=5, stop_words=table(spark, sf_dir, "stop_words"), min_letters=3, min_records=3)
+    return best.select(F.col("record").alias("business_id"), "term", "n", "score", "position")
+
+
 def _together(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairing.cooccurring(pairs(spark, sf_dir), "user_id", "business_id", min_count=5, min_lift=12)
 
@@ -43,4 +74,9 @@ def p7_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posts.select("post_id", "slot", F.size("hashtags").alias("n_tags"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p5_found, p5_surprise, p7_sample)}
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    return tokenizer.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_terms, p4_found, p4_relevance, p5_found, p5_surprise, p7_sample, p8_ids)}
