@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import frequency, overlap, pairing, ranking, sampling, tokenizer, weighting
+from tessera.llm import frequency, leakage, overlap, pairing, ranking, sampling, tokenizer, weighting
 from tessera.plans.tables import pairs, reviews, table
 
 
@@ -79,4 +79,14 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_terms, p4_found, p4_relevance, p5_found, p5_surprise, p7_sample, p8_ids)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold passages of evaluation items, with the items."""
+    return leakage.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every leaked evaluation item with the number of documents that hold passages of it."""
+    return leakage.leak_report(p9_found(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_terms, p4_found, p4_relevance, p5_found, p5_surprise, p7_sample, p8_ids, p9_found, p9_items)}
