@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import frequency, leakage, overlap, pairing, ranking, sampling, tokenizer, weighting
+from tessera.llm import frequency, leakage, overlap, pairing, ranking, sampling, tokenizer, truncation, weighting
 from tessera.plans.tables import pairs, reviews, table
 
 
@@ -89,4 +89,14 @@ def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leak_report(p9_found(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_terms, p4_found, p4_relevance, p5_found, p5_surprise, p7_sample, p8_ids, p9_found, p9_items)}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose text lost its end."""
+    return truncation.truncated(table(spark, sf_dir, "documents"))
+
+
+def p10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the texts of each source are cut."""
+    return truncation.truncation_by_source(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_terms, p4_found, p4_relevance, p5_found, p5_surprise, p7_sample, p8_ids, p9_found, p9_items, p10_found, p10_sources)}
