@@ -118,11 +118,11 @@ def characteristic_terms(
     vocabulary = materialized(vocabulary, "vocabulary")
     known = F.broadcast(vocabulary) if vocabulary.count() <= BROADCAST_TERMS else vocabulary
 
-    ordinary = unpacked(packed.repartition("record")).join(known, "term")
+    ordinary = lambda rows: unpacked(rows).join(known, "term")
     extreme = hot.join(known, "term")
     of = F.max("n") if length == "max" else F.sum("n")
     lengths = lambda rows: rows.groupBy("record").agg(of.alias("length"))
-    n_records, mean = lengths(ordinary).unionByName(lengths(extreme)).agg(F.count("*"), F.avg("length")).first()
+    n_records, mean = lengths(ordinary(packed)).unionByName(lengths(extreme)).agg(F.count("*"), F.avg("length")).first()
     unit = 1.0 if length == "max" else float(mean or 1.0)
     score = _score(float(n_records), unit, k1, b, idf)
     best = Window.partitionBy("record").orderBy(F.col("score").desc(), F.col("term"))
@@ -131,7 +131,7 @@ def characteristic_terms(
         scored = rows.withColumn("score", F.round(score, 9)).filter("score > 0")
         return scored.withColumn("position", F.row_number().over(best)).filter(F.col("position") <= top).select("record", "term", "n", "length", "records", "score", "position")
 
-    in_place = ordinary.withColumn("length", of.over(Window.partitionBy("record")))
+    in_place = ordinary(packed.repartition("record")).withColumn("length", of.over(Window.partitionBy("record")))
     return ranked(in_place).unionByName(ranked(extreme.join(F.broadcast(lengths(extreme)), "record")))
 
 
