@@ -77,7 +77,7 @@ def _count_terms(pattern: str):
 def term_counts(texts: DataFrame, record: str, text: str, min_letters: int = 1, hot_share: float = 1 / 256, spread: int = 64) -> tuple[DataFrame, DataFrame]:
     """Term counts of ordinary records as packed rows (record, terms, counts) and of hot records as
     rows (record, term, n). Rows with a null record or text are left out."""
-    rows = texts.select(F.col(record).alias("record"), F.col(text).alias("text")).dropna()
+    rows = materialized(texts.select(F.col(record).alias("record"), F.col(text).alias("text")).dropna(), "texts")  # read three times
     sizes = rows.groupBy("record").agg(F.count("*").alias("rows"))
     total = sizes.agg(F.sum("rows")).first()[0] or 0
     hot = F.broadcast(sizes.filter(F.col("rows") > total * hot_share).select("record"))  # fewer than 1 / hot_share rows
