@@ -26,29 +26,33 @@ RARE = 1e-4  # so at most 10,000 words are frequent, a set that is broadcast
 NEVER = 0.01  # terminal share below which a trigram is almost never terminal
 PRIOR = 10  # occurrences that a longer context needs to outweigh a shorter one
 
-BLANKS = r"[\s\x85\u00A0\u1680\u2000-\u200B\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+# The blanks of Unicode, with the zero-width space and the byte-order mark.
+BLANKS = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
 
+# What is judged of a text lies at its end, so no pattern runs over the whole of it.
 ENDS = r"""
 WITH trimmed AS (
-  SELECT doc_id, source, text, regexp_replace(text, r'<BLANKS>+$', '') AS t FROM {documents} WHERE text IS NOT NULL),
+  SELECT doc_id, source, text, rtrim('<BLANKS>', text) AS t FROM {documents} WHERE text IS NOT NULL),
 untagged AS (
-  SELECT doc_id, source, text, regexp_replace(t, r'(\s*</?[A-Za-z][^<>]*>)+$', '') AS t FROM trimmed WHERE t <> ''),
+  SELECT doc_id, source, text, CASE WHEN right(t, 1) = '>' THEN regexp_replace(t, r'(\s*</?[A-Za-z][^<>]*>)+$', '') ELSE t END AS t FROM trimmed WHERE t <> ''),
 unmarked AS (
-  SELECT *, regexp_replace(t, r'\s*(\.\.+\s*\(more\)|\(more\)|\[(\.\.\.|…)\]|…|\.\.\.+)$', '') AS body FROM untagged)
-SELECT doc_id, source, char_length(text) AS n, octet_length(text) AS bytes, body, body <> t AS marked,
-       t RLIKE r'(\(more\)|\[(\.\.\.|…)\])$' AS explicit,
-       body RLIKE r'<(/?[A-Za-z][^<>]*)?/?$' AS in_tag,
-       body RLIKE r'[�\u200D]$' OR body RLIKE r'(^|[^🇦-🇿])([🇦-🇿][🇦-🇿])*[🇦-🇿]$' AS in_char,
-       body RLIKE r'[,;:–-]$' AS in_clause,
-       body RLIKE r'[\p{L}\p{N}\p{M}]$' AS open_end
+  SELECT *, CASE WHEN right(t, 6) = '(more)' THEN rtrim('. ', left(t, char_length(t) - 6))
+                 WHEN right(t, 5) = '[...]' THEN rtrim(left(t, char_length(t) - 5))
+                 WHEN right(t, 3) = '[…]' THEN rtrim(left(t, char_length(t) - 3))
+                 WHEN right(t, 1) = '…' OR right(t, 3) = '...' THEN rtrim('.… ', t) ELSE t END AS body,
+         right(t, 6) = '(more)' OR right(t, 5) = '[...]' OR right(t, 3) = '[…]' AS explicit FROM untagged)
+SELECT doc_id, source, char_length(text) AS n, octet_length(text) AS bytes, body, body <> t AS marked, explicit,
+       body LIKE '%<%' AND substring_index(body, '<', -1) RLIKE r'^(/?[A-Za-z][^<>]*)?/?$' AS in_tag,
+       right(body, 1) IN ('�', '‍') OR (right(body, 1) RLIKE '[🇦-🇿]' AND regexp_extract(body, '[🇦-🇿]+$', 0) RLIKE '^.(..)*$') AS in_char,
+       right(body, 1) IN (',', ';', ':', '–', '-') AS in_clause,
+       right(body, 1) RLIKE r'[\p{L}\p{N}\p{M}]' AS open_end
 FROM unmarked""".replace("<BLANKS>", BLANKS)
 
 # Words of a text, with ¶ for every end of a sentence or line and for brackets, quotes and tags.
 WORDS = r"""
-SELECT doc_id, marked, open_end, filter(split(lower(regexp_replace(regexp_replace(regexp_replace(
-         body, r'[.!?。…"()\[\]]+|\n+|</?[A-Za-z][^<>]*>', ' ¶ '),
-         r'([#:–])', ' $1 '),
-         r"[^\p{L}\p{M}\p{N}'’¶#:–]+", ' ')), ' +'), x -> x <> '') AS w
+SELECT doc_id, marked, open_end, transform(
+         regexp_extract_all(lower(body), r"[\p{L}\p{M}\p{N}'’]+|[#:–]|[.!?。…\x22()\[\]\n]+|</?[a-z][^<>]*>", 0),
+         x -> CASE WHEN instr('.!?。…"()[]\n<', left(x, 1)) > 0 THEN '¶' ELSE x END) AS w
 FROM {ends}"""
 
 TRIGRAMS = """
