@@ -12,6 +12,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import materialized
+
 LARGEST = 8  # at most so many groups are set aside, so the set is broadcast
 
 
@@ -30,7 +32,7 @@ def pairs_in_common(rows: DataFrame, group: str, key: str, min_common: int, sums
     with a null key or group are left out; an empty table gives no rows.
     """
     sums = dict(sums or {})
-    rows = rows.filter(F.col(group).isNotNull() & F.col(key).isNotNull())
+    rows = materialized(rows.filter(F.col(group).isNotNull() & F.col(key).isNotNull()), "rows")
     if weight is None:
         often = rows.groupBy(key).agg(F.count("*").alias("__groups")).filter(F.col("__groups") >= min_common)
         rows = rows.join(often.select(key), key, "left_semi")

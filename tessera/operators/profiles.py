@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import letter_words
+from tessera.session import materialized
 
 PROFILE = 200
 
@@ -14,7 +15,7 @@ def word_counts(reviews: DataFrame, stop_words: DataFrame, more_than: int = 30)
     """(business_id, word, n) of words that occur more than ``more_than`` times in all and aren't stop words."""
     stop = stop_words.select(F.lower(F.trim("word")).alias("word")).distinct()
     words = reviews.filter(F.col("business_id").isNotNull()).select("business_id", F.explode(letter_words(F.col("text"))).alias("word"))
-    counts = words.groupBy("business_id", "word").agg(F.count("*").alias("n"))
+    counts = materialized(words.groupBy("business_id", "word").agg(F.count("*").alias("n")), "counts")
     kept = counts.groupBy("word").agg(F.sum("n").alias("total")).filter(F.col("total") > more_than).select("word")
     return counts.join(kept.join(stop, "word", "left_anti"), "word")
 
@@ -26,6 +27,7 @@ def doc_frequency(counts: DataFrame) -> DataFrame:
 
 def business_profiles(counts: DataFrame, size: int = PROFILE) -> DataFrame:
     """(business_id, word, weight): the ``size`` words with the largest n / max n * log2(N / df); ties by word."""
+    counts = materialized(counts, "kept")
     largest = counts.groupBy("business_id").agg(F.max("n").alias("most"))
     n = counts.select(F.count_distinct("business_id").alias("businesses"))
     weighted = counts.join(doc_frequency(counts), "word").join(largest, "business_id").crossJoin(F.broadcast(n))  # n is one row
@@ -37,7 +39,7 @@ def business_profiles(counts: DataFrame, size: int = PROFILE) -> DataFrame:
 def user_profiles(reviews: DataFrame, profiles: DataFrame) -> DataFrame:
     """(user_id, word): the profile words a user has ever used."""
     words = reviews.filter(F.col("user_id").isNotNull()).select("user_id", F.explode(letter_words(F.col("text"))).alias("word")).distinct()
-    return words.join(profiles.select("word").distinct(), "word", "left_semi")
+    return materialized(words.join(profiles.select("word").distinct(), "word", "left_semi"), "users")
 
 
 def cosine_scores(pairs: DataFrame, users: DataFrame, profiles: DataFrame, size: int = PROFILE, least: float = 0.01) -> DataFrame:

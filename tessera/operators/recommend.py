@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.common_pairs import pairs_in_common
+from tessera.session import materialized
 
 
 def _pearson(ratings: DataFrame, key: str, other: str, min_common: int) -> DataFrame:
@@ -36,6 +37,7 @@ def user_model(ratings: DataFrame, min_common: int = 3, min_jaccard: float = 0.0
 
     ``candidates`` (key_a, key_b), such as those of MinHash, restrict the pairs; without, all are found.
     """
+    ratings = materialized(ratings, "ratings")
     rated = ratings.select("user_id", "business_id").dropna().distinct()
     size = rated.groupBy("user_id").agg(F.count("*").alias("size"))
     common = pairs_in_common(rated, "business_id", "user_id", min_common)
@@ -59,7 +61,7 @@ def predict_by_items(pairs: DataFrame, ratings: DataFrame, model: DataFrame, nei
     ratings of the user, f = neighbours found / T and the user's mean m, the answer is
     p f + m (1 - f). Pairs without a neighbour have no row.
     """
-    cells, wanted = _cells(ratings), pairs.select("user_id", "business_id").dropna().distinct()
+    cells, model, wanted = materialized(_cells(ratings), "cells"), materialized(model, "model"), pairs.select("user_id", "business_id").dropna().distinct()
     means = cells.groupBy("user_id").agg(F.avg("stars").alias("m"), F.count("*").alias("t"))
     both = model.select(F.col("b1").alias("business_id"), F.col("b2").alias("other"), "sim").unionByName(model.select(F.col("b2").alias("business_id"), F.col("b1").alias("other"), "sim"))
     near = wanted.join(both, "business_id").join(cells.select("user_id", F.col("business_id").alias("other"), "stars"), ["user_id", "other"])
@@ -77,7 +79,7 @@ def predict_by_users(pairs: DataFrame, ratings: DataFrame, model: DataFrame, nei
     deviations from their own means, with g = log2(users / ratings of the business) / log2(1000).
     Users without ratings have no mean, and so no row.
     """
-    cells, wanted = _cells(ratings), pairs.select("user_id", "business_id").dropna().distinct()
+    cells, model, wanted = materialized(_cells(ratings), "cells"), materialized(model, "model"), pairs.select("user_id", "business_id").dropna().distinct()
     means = cells.groupBy("user_id").agg(F.avg("stars").alias("m"))
     users = cells.agg(F.count_distinct("user_id").alias("users"))
     heard = cells.groupBy("business_id").agg(F.count("*").alias("ratings"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import number_of
+from tessera.session import materialized
 
 PRIME = 4294967311  # the first prime above 2^32
 
@@ -30,6 +31,7 @@ def jaccard_pairs(rows: DataFrame, key: str, item: str, threshold: float) -> Dat
     an item among the first n - ceil(threshold n) + 1 of each, so that the most frequent items of
     a key are never joined on. ``rows`` holds distinct (key, item).
     """
+    rows = materialized(rows, "rows")
     frequency = rows.groupBy(item).agg(F.count("*").alias("df"))
     sizes = rows.groupBy(key).agg(F.count("*").alias("size"))
     ordered = Window.partitionBy(key).orderBy("df", item)
@@ -80,5 +82,6 @@ def lsh_candidates(signatures: DataFrame, key: str, bands: int, width: int) -> D
 
 def lsh_pairs(rows: DataFrame, key: str, item: str, threshold: float, constants: Sequence[tuple[int, int]], width: int = 1) -> DataFrame:
     """MinHash candidates with their exact similarity, where it reaches ``threshold``: no false pairs, some missed."""
+    rows = materialized(rows, "rows")
     candidates = lsh_candidates(minhash_signatures(rows, key, item, constants), key, len(constants) // width, width)
     return overlaps(candidates, rows, key, item).filter(F.col("similarity") >= threshold)

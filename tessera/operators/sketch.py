@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import bytes_of, linear_hash, trailing_zeros
+from tessera.session import materialized
 
 BITS = 8000
 # Fixed values: (a, b, modulus) of the two hashes of the membership filter.
@@ -66,10 +67,10 @@ def fm_estimate(ranks: Sequence[Column]) -> Column:
 def fm_distinct(events: DataFrame, keys: Sequence[Column | str], column: str) -> DataFrame:
     """(keys, distinct, estimate): exact and estimated number of distinct values per group.
 
-    Values are made distinct before they are hashed; '' is a value, null isn't.
+    Values are made distinct before they are hashed, once for all groups; '' is a value, null isn't.
     """
-    values = events.filter(F.col(column).isNotNull()).select(*keys, F.col(column).alias("value")).distinct()
+    values = materialized(events.filter(F.col(column).isNotNull()).select(*keys, F.col(column).alias("value")).distinct(), "values")
     names = values.columns[:-1]
-    hashed = values.select(*names, fm_rank_columns(F.col("value")).alias("z"))
+    hashed = values.join(values.select("value").distinct().withColumn("z", fm_rank_columns(F.col("value"))), "value")
     largest = hashed.groupBy(*names).agg(F.count("*").alias("distinct"), *[F.max(F.col("z")[i]).alias(f"r{i}") for i in range(len(COUNT_HASHES))])
     return largest.select(*names, "distinct", F.round(fm_estimate([F.col(f"r{i}") for i in range(len(COUNT_HASHES))]), 6).alias("estimate"))

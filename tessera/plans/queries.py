@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.operators import cluster, explore, graph, itemsets, profiles, recommend, similarity, sketch, split_values
 from tessera.operators.reviews import first_loaded
 from tessera.plans.tables import pairs, reviews, table
+from tessera.session import materialized
 from tessera.streaming import reservoir, windows
 
 YEAR, TOP, OVER, STATE = 2019, 20, 30, "QA"
@@ -134,7 +135,9 @@ def _test_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cosine_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profiles.cosine_scores(_test_pairs(spark, sf_dir), binary_user_profile(spark, sf_dir), tfidf_topk(spark, sf_dir))
+    best = materialized(tfidf_topk(spark, sf_dir), "profiles")
+    users = profiles.user_profiles(reviews(spark, sf_dir, "review_id", "user_id", "text"), best)
+    return profiles.cosine_scores(_test_pairs(spark, sf_dir), users, best)
 
 
 def _ratings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tessera.operators.sketch import COUNT_HASHES, fm_estimate, fm_rank_columns
+from tessera.operators.sketch import COUNT_HASHES, fm_distinct, fm_estimate, fm_rank_columns
 
 
 def sliding_distinct(events: DataFrame, time: str, column: str, length: str = "30 seconds", slide: str = "10 seconds", late: str = "1 minute") -> DataFrame:
@@ -19,7 +19,9 @@ def sliding_distinct(events: DataFrame, time: str, column: str, length: str = "3
     than ``late`` are left out. State is one row per window and value, and 61 numbers per window.
     """
     timed = events.withColumn("__time", F.col(time).cast("timestamp")).filter(F.col(column).isNotNull())
-    timed = timed.withWatermark("__time", late) if events.isStreaming else timed
+    if not events.isStreaming:
+        return fm_distinct(timed, [F.window("__time", length, slide).alias("window")], column)
+    timed = timed.withWatermark("__time", late)
     values = timed.select(F.window("__time", length, slide).alias("window"), F.col(column).alias("value")).dropDuplicates(["window", "value"])
     hashed = values.select("window", fm_rank_columns(F.col("value")).alias("z"))
     n = len(COUNT_HASHES)
