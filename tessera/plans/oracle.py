@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessera.operators.similarity import PRIME, hash_constants
+from tessera.operators.split_values import BLANKS, DELIMITERS
 from tessera.operators.sketch import BITS, BLOOM_HASHES, COUNT_HASHES
 from tessera.plans import queries as q
 
@@ -85,12 +86,24 @@ n AS (SELECT {key}, count(DISTINCT city) AS distinct_ FROM ev GROUP BY {key})
 SELECT {key}, distinct_ AS "distinct", estimate FROM n JOIN est USING ({key})"""
 
 
+_BLANK, _DELIMITER = "".join(BLANKS), "".join(DELIMITERS)
+_GAP = f"[{_BLANK}]*"
+_QUOTED = rf'''{_GAP}"(?:[^"\\]|""|\\.)*"|{_GAP}“[^”]*”|[^{_DELIMITER}]+'''
+_LISTED = rf"""{_GAP}''(?:[^''\\]|\\.)*''|{_QUOTED}"""
+CATEGORY_NAMES = f"""WITH {B}, t AS (SELECT business_id, trim(categories, '{_BLANK}') AS c FROM b WHERE categories IS NOT NULL),
+l AS (SELECT *, length(c) > 1 AND left(c, 1) = '[' AND right(c, 1) = ']' AS listed FROM t),
+e AS (SELECT business_id, CASE WHEN listed THEN regexp_extract_all(substr(c, 2, length(c) - 2), '{_LISTED}') ELSE regexp_extract_all(c, '{_QUOTED}') END AS e, listed FROM l),
+n AS (SELECT business_id, list_filter(list_transform(list_transform(e, lambda x: trim(x, '{_BLANK}')), lambda x: CASE
+  WHEN length(x) > 1 AND left(x, 1) = '"' AND right(x, 1) = '"' THEN trim(replace(replace(substr(x, 2, length(x) - 2), '""', '"'), '\\"', '"'), '{_BLANK}')
+  WHEN length(x) > 1 AND (left(x, 1) = '“' AND right(x, 1) = '”' OR listed AND left(x, 1) = chr(39) AND right(x, 1) = chr(39)) THEN trim(substr(x, 2, length(x) - 2), '{_BLANK}')
+  ELSE x END), lambda x: x <> '') AS names FROM e)"""
 VECTORS = f"""v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS f, label FROM embeddings), c AS (SELECT row_number() OVER (ORDER BY id) - 1 AS cluster, f AS c FROM (SELECT * FROM v ORDER BY id LIMIT {q.CLUSTERS})),
 a AS (SELECT id, f, label, cluster FROM v, c QUALIFY row_number() OVER (PARTITION BY id ORDER BY list_distance(f, c), cluster) = 1),
 s AS (SELECT cluster, dim - 1 AS dim, count(*) AS n, sum(x) AS s, sum(x * x) AS q FROM (SELECT cluster, unnest(f) AS x, generate_subscripts(f, 1) AS dim FROM a) GROUP BY ALL)"""
 POSTS = """t AS (SELECT post_id, hashtags FROM tag_stream WHERE post_id IS NOT NULL AND len(hashtags) > 0 QUALIFY row_number() OVER (PARTITION BY post_id ORDER BY arrived_at, chunk_no) = 1)"""
 
 ORACLE = {
+    "p6_found": f"{CATEGORY_NAMES} SELECT business_id, generate_subscripts(names, 1)::INT AS pos, unnest(names) AS category FROM n",
     "explore_counts": f"WITH {R} SELECT count(*) AS reviews, count(*) FILTER (substr(review_date, 1, 4) = '{q.YEAR}') AS in_year, count(DISTINCT user_id) AS users FROM r",
     "top_users": f"WITH {R} SELECT user_id, count(*) AS reviews FROM r WHERE user_id IS NOT NULL GROUP BY user_id ORDER BY reviews DESC, user_id LIMIT {q.TOP}",
     "top_words": f"""WITH {R}, w AS (SELECT trim(unnest(string_split_regex(lower(text), '[ \\(\\[,\\n.!?:;\\]\\)]+')), ' ') AS word FROM r)
