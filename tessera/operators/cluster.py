@@ -300,6 +300,11 @@ def _merge(compressed: dict[int, Summary], merged: dict[int, int], most: float)
             merged[b] = a
 
 
+def cluster_sizes(labels: DataFrame, label: str) -> DataFrame:
+    """(label, points), the smallest label first when sorted: how many points each label has."""
+    return labels.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("points"))
+
+
 def nmi(labels: DataFrame, u: str, v: str) -> DataFrame:
     """One row ``nmi``: mutual information of two labelings over the mean of their entropies; 1 if both have one label."""
     cells = labels.filter(F.col(u).isNotNull() & F.col(v).isNotNull()).groupBy(F.col(u).alias("u"), F.col(v).alias("v")).agg(F.count("*").alias("n"))

@@ -168,6 +168,7 @@ FROM city_stream, (VALUES (0), (1), (2)) s(k) WHERE city IS NOT NULL""", "start"
 SELECT tag, n FROM n QUALIFY dense_rank() OVER (ORDER BY n DESC) <= 3""",
     "reservoir_sample": f"WITH {POSTS} SELECT post_id FROM t ORDER BY md5('1:' || post_id::VARCHAR), post_id LIMIT 100",
     "kmeans_assign": f"WITH {VECTORS} SELECT id, cluster::INT AS cluster FROM a",
+    "cluster_sizes": f"WITH {VECTORS} SELECT cluster::INT AS label, count(*) AS points FROM a GROUP BY cluster",
     "kmeans_step": f"WITH {VECTORS} SELECT cluster::INT AS cluster, dim::INT AS dim, round(s / n, 12) AS centre FROM s",
     "cluster_summaries": f"WITH {VECTORS} SELECT cluster::INT AS cluster, dim::INT AS dim, n, round(s, 6) AS s, round(q, 6) AS q FROM s",
     "mahalanobis_assign": f"""WITH {VECTORS}, g AS (SELECT cluster, list(s / n ORDER BY dim) AS mu, list(greatest(sqrt(greatest(q / n - pow(s / n, 2), 0)), 1e-9) ORDER BY dim) AS sd, count(*) AS dims FROM s GROUP BY cluster),

@@ -228,6 +228,10 @@ def kmeans_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.assign(_vectors(spark, sf_dir), _first_vectors(spark, sf_dir)).select("id", "cluster")
 
 
+def cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.cluster_sizes(kmeans_assign(spark, sf_dir), "cluster")
+
+
 def kmeans_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     assigned = cluster.assign(_vectors(spark, sf_dir), _first_vectors(spark, sf_dir))
     return cluster.cluster_summaries(assigned).select("cluster", "dim", F.round(F.col("s") / F.col("n"), 12).alias("centre"))
@@ -281,6 +285,6 @@ QUERIES = {
         jaccard_pairs, minhash_signatures, lsh_candidates, lsh_pairs, doc_freq, tfidf_topk, binary_user_profile, cosine_score,
         item_pearson, user_pearson, predict_item, predict_user, cooccurrence_edges, connected_components, label_propagation, edge_betweenness,
         girvan_newman, modularity, bloom_membership, fm_distinct, fm_sliding, trending_tags, reservoir_sample,
-        kmeans_assign, kmeans_step, cluster_summaries, kmeans_clusters, mahalanobis_assign, bfr_clusters, bfr_rounds, nmi, p6_found,
+        kmeans_assign, kmeans_step, cluster_sizes, cluster_summaries, kmeans_clusters, mahalanobis_assign, bfr_clusters, bfr_rounds, nmi, p6_found,
     )
 }

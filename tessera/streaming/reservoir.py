@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 ASCII = re.compile("[A-Za-z]+")
@@ -61,9 +63,11 @@ class Reservoir:
         return out
 
 
-def trending_stream(posts: DataFrame, capacity: int = 100, seed: int = 0) -> DataFrame:
+def trending_stream(posts: DataFrame, capacity: int = 100, seed: int = 0, each_post: bool = False) -> DataFrame:
     """(n, tag, count) after each micro-batch of a stream of (hashtags, posted_at): the reservoir is the state.
 
+    With ``each_post`` there is a report after every post that was kept or drawn for, numbered by ``n``.
+
     A reservoir is one sequence, so its state has one key: at most ``capacity`` posts and a counter. Posts
     of a micro-batch are taken in the order of ``posted_at``; batches of any size are read in pieces.
     """
@@ -72,16 +76,38 @@ def trending_stream(posts: DataFrame, capacity: int = 100, seed: int = 0) -> Dat
     def step(key: tuple, pieces: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, kept = state.get if state.exists else (0, [])
         reservoir = Reservoir(capacity, seed, n, [list(x) for x in kept])
+        report = lambda: [(reservoir.n, t, c) for t, c in trending(reservoir.counts())]
         for piece in pieces:
+            rows = []
             for tags in piece.sort_values("at", kind="stable")["tags"]:
-                reservoir.offer(list(tags))
+                if reservoir.offer(list(tags)) and each_post:
+                    rows += report()
+            if rows:
+                yield pd.DataFrame(rows, columns=["n", "tag", "count"])
         state.update((reservoir.n, reservoir.kept))
-        top = trending(reservoir.counts())
-        yield pd.DataFrame({"n": [reservoir.n] * len(top), "tag": [t for t, _ in top], "count": [c for _, c in top]})
+        if not each_post:
+            yield pd.DataFrame(report(), columns=["n", "tag", "count"])
 
     return rows.groupBy("key").applyInPandasWithState(step, "n long, tag string, count long", "n long, kept array<array<string>>", "append", GroupStateTimeout.NoTimeout)
 
 
+def append_blocks(reports: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Appends a block of text per report: how many posts with tags there were, and the trending tags with their counts."""
+    open(path, "w", encoding="utf-8").close()
+
+    def write(batch: DataFrame, _: int) -> None:
+        last = None
+        with open(path, "a", encoding="utf-8") as f:
+            for r in batch.orderBy("n", F.col("count").desc(), "tag").toLocalIterator():
+                if r["n"] != last:
+                    f.write(("" if last is None else "\n") + f"The number of tweets with tags from the beginning: {r['n']}\n")
+                    last = r["n"]
+                f.write(f"{r['tag']}: {r['count']}\n")
+            f.write("\n" if last is not None else "")
+
+    return reports.writeStream.foreachBatch(write).option("checkpointLocation", os.fspath(checkpoint)).outputMode("append").trigger(**(trigger or {"processingTime": "5 seconds"})).start()
+
+
 def trending_tags(posts: DataFrame) -> DataFrame:
     """(tag, n): the ASCII tags of a table of posts with one of the 3 largest distinct counts."""
     tags = posts.select(F.explode("hashtags").alias("h")).select(F.col("h.text").alias("tag")).filter(F.col("tag").rlike("^[A-Za-z]+$"))

@@ -71,6 +71,17 @@ def test_trending_stream_equals_a_replay(spark, tmp_path):
     assert [(r["n"], r["tag"], r["count"]) for r in spark.table("trending").collect()] == [(30, t, n) for t, n in reservoir.trending(own.counts())]
 
 
+def test_report_after_each_post(spark, tmp_path):
+    start = dt.datetime(2023, 1, 1)
+    schema = "hashtags array<struct<text: string>>, posted_at timestamp"
+    rows = [([("a",)], start), ([("é",)], start + dt.timedelta(seconds=1)), ([("b",), ("a",)], start + dt.timedelta(seconds=2))]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    reports = reservoir.trending_stream(file_stream(spark, str(tmp_path / "in"), schema), capacity=5, each_post=True)
+    reservoir.append_blocks(reports, str(tmp_path / "out.txt"), str(tmp_path / "c"), {"availableNow": True}).awaitTermination(120)
+    head = "The number of tweets with tags from the beginning: "
+    assert (tmp_path / "out.txt").read_text() == f"{head}1\na: 1\n\n{head}2\na: 2\nb: 1\n\n"
+
+
 def test_merged_samples_equal_the_sample_of_all(spark):
     df = spark.range(0, 500).withColumnRenamed("id", "post_id")
     whole = rows_of(reservoir.smallest_hashes(df, "post_id", 20, 4))
