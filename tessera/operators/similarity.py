@@ -28,15 +28,19 @@ def jaccard_pairs(rows: DataFrame, key: str, item: str, threshold: float) -> Dat
     """All pairs of keys whose item sets have a Jaccard similarity of at least ``threshold``.
 
     Inverted-index join on prefixes: with items ordered from rare to frequent, two such sets share
-    an item among the first n - ceil(threshold n) + 1 of each, so that the most frequent items of
-    a key are never joined on. ``rows`` holds distinct (key, item).
+    an item among the first n - ceil(threshold n) + 1 of each (taken up to whole classes of
+    frequency), so that the most frequent items of a key are not joined on. ``rows`` holds distinct
+    (key, item).
     """
     rows = materialized(rows, "rows")
     frequency = rows.groupBy(item).agg(F.count("*").alias("df"))
     sizes = rows.groupBy(key).agg(F.count("*").alias("size"))
-    ordered = Window.partitionBy(key).orderBy("df", item)
-    prefix = rows.join(frequency, item).withColumn("rank", F.row_number().over(ordered)).join(sizes, key)
-    prefix = prefix.filter((F.col("rank") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1) & (F.col("df") > 1)).select(key, item, "size")
+    # Classes of frequency: exact up to 64, then a quarter of a power of two wide; so a key has few of them, whatever its size.
+    classed = rows.join(frequency, item).withColumn("cls", F.when(F.col("df") <= 64, F.col("df")).otherwise(F.floor(F.log2("df") * 4) + 41).cast("long"))
+    rarer = Window.partitionBy(key).orderBy("cls").rowsBetween(Window.unboundedPreceding, -1)
+    held = classed.groupBy(key, "cls").agg(F.count("*").alias("k")).withColumn("before", F.coalesce(F.sum("k").over(rarer), F.lit(0))).join(sizes, key)
+    reached = held.filter(F.col("before") < F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).select(key, "cls", "size")
+    prefix = classed.filter(F.col("df") > 1).join(reached, [key, "cls"]).select(key, item, "size")
     a, b = prefix.alias("a"), prefix.alias("b")
     close = F.least("a.size", "b.size") >= F.greatest("a.size", "b.size") * threshold - 1e-9
     pairs = a.join(b, (F.col(f"a.{item}") == F.col(f"b.{item}")) & (F.col(f"a.{key}") < F.col(f"b.{key}")) & close)
