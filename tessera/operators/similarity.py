@@ -66,26 +66,53 @@ def minhash_signatures(rows: DataFrame, key: str, item: str, constants: Sequence
     return rows.groupBy(key).agg(*mins)
 
 
-def lsh_candidates(signatures: DataFrame, key: str, bands: int, width: int) -> DataFrame:
+def equal_sets(rows: DataFrame, key: str, item: str) -> DataFrame:
+    """(key, head): the smallest key with the same item set, itself for most; sets are equal by size and 128 bits of fingerprint.
+
+    ``rows`` holds distinct (key, item).
+    """
+    marks = rows.groupBy(key).agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64(item)).alias("f1"), F.bit_xor(F.xxhash64(F.lit(1), item)).alias("f2"))
+    heads = marks.groupBy("size", "f1", "f2").agg(F.min(key).alias("head"))
+    return marks.join(heads, ["size", "f1", "f2"]).select(key, "head")
+
+
+def lsh_candidates(signatures: DataFrame, key: str, bands: int, width: int, sets: DataFrame | None = None) -> DataFrame:
     """(key_a, key_b) of keys that agree in all ``width`` hashes of at least one of ``bands`` bands.
 
-    Keys with equal signatures are one class: only its smallest key is paired with other classes,
-    the others with that one. (So a bucket full of copies gives no pair for each two of them.)
+    An equal signature is not an equal set, so every key is paired by itself. With ``sets``, the
+    membership from ``equal_sets``, only exact copies are folded: their head is paired with other
+    heads, each copy with its head only, and ``with_copies`` gives the other pairs.
     """
-    hashes = [f"h{i}" for i in range(bands * width)]
-    whole = F.struct(*hashes)
-    classes = signatures.groupBy(whole.alias("s")).agg(F.min(key).alias("head"))
-    members = signatures.select(key, whole.alias("s")).join(classes, "s")
-    copies = members.filter(F.col(key) != F.col("head")).select(F.col("head").alias("key_a"), F.col(key).alias("key_b"))
-    band = F.array(*[F.struct(F.lit(b).alias("band"), F.array(*[F.col(f"s.h{i}") for i in range(b * width, (b + 1) * width)]).alias("value")) for b in range(bands)])
-    keys = classes.select("head", F.explode(band).alias("b")).select("head", "b.band", "b.value")
+    copies = None
+    if sets is not None:
+        signatures = signatures.join(sets.filter(F.col(key) == F.col("head")).select(key), key)
+        copies = sets.filter(F.col(key) != F.col("head")).select(F.col("head").alias("key_a"), F.col(key).alias("key_b"))
+    band = F.array(*[F.struct(F.lit(b).alias("band"), F.array(*[F.col(f"h{i}") for i in range(b * width, (b + 1) * width)]).alias("value")) for b in range(bands)])
+    keys = signatures.select(F.col(key).alias("key"), F.explode(band).alias("b")).select("key", "b.band", "b.value")
     x, y = keys.alias("x"), keys.alias("y")
-    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.head") < F.col("y.head")))
-    return pairs.select(F.col("x.head").alias("key_a"), F.col("y.head").alias("key_b")).unionByName(copies).distinct()
+    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.key") < F.col("y.key")))
+    found = pairs.select(F.col("x.key").alias("key_a"), F.col("y.key").alias("key_b")).distinct()
+    return found if copies is None else found.unionByName(copies)
 
 
-def lsh_pairs(rows: DataFrame, key: str, item: str, threshold: float, constants: Sequence[tuple[int, int]], width: int = 1) -> DataFrame:
-    """MinHash candidates with their exact similarity, where it reaches ``threshold``: no false pairs, some missed."""
-    rows = materialized(rows, "rows")
-    candidates = lsh_candidates(minhash_signatures(rows, key, item, constants), key, len(constants) // width, width)
+def with_copies(pairs: DataFrame, sets: DataFrame, key: str) -> DataFrame:
+    """All pairs of keys (key_a < key_b) that pairs of heads, and of heads with their copies, stand for; other columns stay."""
+    rest = [c for c in pairs.columns if c not in ("key_a", "key_b")]
+    a, b = (sets.select(F.col("head").alias(k), F.col(key).alias(x)) for k, x in (("key_a", "x"), ("key_b", "y")))
+    across = pairs.join(a, "key_a").join(b, "key_b").select("x", "y", *rest)  # a copy is no head
+    copies = pairs.join(sets.select(F.col("head").alias("key_a"), F.col(key).alias("key_b")), ["key_a", "key_b"])
+    within = copies.join(a, "key_a").filter(F.col("x") < F.col("key_b")).select("x", F.col("key_b").alias("y"), *rest)
+    return across.unionByName(within).select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b"), *rest)
+
+
+def lsh_pairs(rows: DataFrame, key: str, item: str, threshold: float, constants: Sequence[tuple[int, int]], width: int = 1, sets: DataFrame | None = None) -> DataFrame:
+    """MinHash candidates with their exact similarity, where it reaches ``threshold``: no false pairs, some missed.
+
+    Exact copies have one pair with their head; ``with_copies`` writes the others out. ``sets`` is
+    their membership from ``equal_sets``, found here if it isn't given (``rows`` is then written once).
+    """
+    if sets is None:
+        rows = materialized(rows, "rows")
+        sets = materialized(equal_sets(rows, key, item), "sets")
+    candidates = lsh_candidates(minhash_signatures(rows, key, item, constants), key, len(constants) // width, width, sets)
     return overlaps(candidates, rows, key, item).filter(F.col("similarity") >= threshold)

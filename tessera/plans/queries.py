@@ -104,13 +104,21 @@ def minhash_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.minhash_signatures(pairs(spark, sf_dir), "business_id", "user_id", similarity.hash_constants(4))
 
 
+def _with_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = materialized(pairs(spark, sf_dir), "rows")
+    return rows, materialized(similarity.equal_sets(rows, "business_id", "user_id"), "sets")
+
+
 def lsh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signed = similarity.minhash_signatures(pairs(spark, sf_dir), "business_id", "user_id", similarity.hash_constants(4))
-    return similarity.lsh_candidates(signed, "business_id", 2, 2)
+    rows, sets = _with_sets(spark, sf_dir)
+    signed = similarity.minhash_signatures(rows, "business_id", "user_id", similarity.hash_constants(4))
+    return similarity.with_copies(similarity.lsh_candidates(signed, "business_id", 2, 2, sets), sets, "business_id")
 
 
 def lsh_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _similar(similarity.lsh_pairs(pairs(spark, sf_dir), "business_id", "user_id", LSH_JACCARD, similarity.hash_constants(BANDS * WIDTH), WIDTH))
+    rows, sets = _with_sets(spark, sf_dir)
+    found = similarity.lsh_pairs(rows, "business_id", "user_id", LSH_JACCARD, similarity.hash_constants(BANDS * WIDTH), WIDTH, sets)
+    return _similar(similarity.with_copies(found, sets, "business_id"))
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 from itertools import combinations
 
+import duckdb
 import pytest
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import functions as F
@@ -78,3 +79,24 @@ def test_minhash_finds_no_false_pairs_and_all_copies(spark):
     rows = spark.createDataFrame([(k, f"u{i}") for k in range(8) for i in range(k // 4 * 10, k // 4 * 10 + 6)], "k int, u string")
     found = similarity.lsh_pairs(rows, "k", "u", 0.9, similarity.hash_constants(10), 2)
     assert {(r["key_a"], r["key_b"]) for r in found.collect()} == {(0, 1), (0, 2), (0, 3), (4, 5), (4, 6), (4, 7)}
+
+
+def test_equal_signatures_of_different_sets_keep_their_pairs(spark):
+    base = range(300)
+    sets = {0: base, 1: base, 2: base[:-1], 3: base[1:], 4: [*base, 300], 5: [*base, 300], 6: base[:150], 7: [*base[:150], 400], 8: range(500, 510)}
+    rows = spark.createDataFrame([(k, f"u{i}") for k, s in sets.items() for i in s], "k int, u string")
+    signed = similarity.minhash_signatures(rows, "k", "u", similarity.hash_constants(4))
+    signatures = {tuple(r)[1:]: r["k"] for r in signed.collect()}
+    assert len(signatures) < len({tuple(s) for s in sets.values()})  # some differ and look alike
+    con = duckdb.connect()
+    con.execute("CREATE TABLE s (k INT, h0 BIGINT, h1 BIGINT, h2 BIGINT, h3 BIGINT)")
+    con.executemany("INSERT INTO s VALUES (?, ?, ?, ?, ?)", [list(r) for r in signed.collect()])
+    sql = "SELECT x.k, y.k FROM s x JOIN s y ON x.k < y.k AND ((x.h0 = y.h0 AND x.h1 = y.h1) OR (x.h2 = y.h2 AND x.h3 = y.h3))"
+    expected = sorted(con.execute(sql).fetchall())
+    assert sorted(map(tuple, similarity.lsh_candidates(signed, "k", 2, 2).collect())) == expected
+    copies = similarity.equal_sets(rows, "k", "u")
+    assert {r["k"]: r["head"] for r in copies.collect()} == {k: min(j for j in sets if set(sets[j]) == set(sets[k])) for k in sets}
+    assert sorted(map(tuple, similarity.with_copies(similarity.lsh_candidates(signed, "k", 2, 2, copies), copies, "k").collect())) == expected
+    jaccard = lambda a, b: len({*sets[a]} & {*sets[b]}) / len({*sets[a]} | {*sets[b]})
+    found = similarity.with_copies(similarity.lsh_pairs(rows, "k", "u", 0.4, similarity.hash_constants(4), 2, copies), copies, "k")
+    assert {(r["key_a"], r["key_b"]): r["similarity"] for r in found.collect()} == {p: jaccard(*p) for p in expected if jaccard(*p) >= 0.4}
