@@ -128,6 +128,14 @@ SELECT b1, b2, round(k / (na.n + nb.n - k), 9) AS sim FROM s JOIN n na ON na.b =
     "lsh_candidates": f"""WITH {P}, g AS (SELECT b, {_minhash(4)} FROM p GROUP BY b), h AS (SELECT *, min(b) OVER (PARTITION BY h0, h1, h2, h3) AS head FROM g)
 SELECT DISTINCT x.head AS key_a, y.head AS key_b FROM h x JOIN h y ON x.head < y.head AND ((x.h0 = y.h0 AND x.h1 = y.h1) OR (x.h2 = y.h2 AND x.h3 = y.h3))
 UNION SELECT head, b FROM h WHERE b <> head""",
+    "jaccard_pairs_w3": f"""WITH {P}, n AS (SELECT b, count(*) AS n FROM p GROUP BY b),
+s AS (SELECT x.b AS b1, y.b AS b2, count(*) AS k FROM p x JOIN p y ON x.u = y.u AND x.b < y.b GROUP BY ALL)
+SELECT b1, b2, round(k / (na.n + nb.n - k), 9) AS sim FROM s JOIN n na ON na.b = b1 JOIN n nb ON nb.b = b2 WHERE k / (na.n + nb.n - k) >= {q.W3_JACCARD}""",
+    "lsh_pairs_w3": f"""WITH {P}, n AS (SELECT b, count(*) AS n FROM p GROUP BY b), g AS (SELECT b, {_minhash(q.W3_HASHES)} FROM p GROUP BY b),
+h AS (SELECT b, unnest(range({q.W3_HASHES})) AS i, unnest([{', '.join(f'h{i}' for i in range(q.W3_HASHES))}]) AS v FROM g),
+c AS (SELECT DISTINCT x.b AS b1, y.b AS b2 FROM h x JOIN h y ON x.i = y.i AND x.v = y.v AND x.b < y.b),
+s AS (SELECT b1, b2, count(*) AS k FROM c JOIN p x ON x.b = b1 JOIN p y ON y.b = b2 AND y.u = x.u GROUP BY ALL)
+SELECT b1, b2, round(k / (na.n + nb.n - k), 9) AS sim FROM s JOIN n na ON na.b = b1 JOIN n nb ON nb.b = b2 WHERE k / (na.n + nb.n - k) >= {q.W3_JACCARD}""",
     "doc_freq": f"WITH {WORDS} SELECT word, df FROM d",
     "tfidf_topk": f"WITH {PROFILES} SELECT business_id, word, weight FROM best",
     "binary_user_profile": f"WITH {USERS} SELECT user_id, word FROM up",

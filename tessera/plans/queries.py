@@ -15,6 +15,7 @@ from tessera.streaming import reservoir, windows
 YEAR, TOP, OVER, STATE = 2019, 20, 30, "QA"
 SUPPORT, MIN_BASKET = 5, 4
 JACCARD, LSH_JACCARD, BANDS, WIDTH = 0.1, 0.3, 25, 2
+W3_JACCARD, W3_HASHES = 0.05, 50  # the reference's own setting, with bands of one hash
 THRESHOLD = 7  # common businesses that make an edge
 CLUSTERS, BFR_CLUSTERS, CHUNKS = 10, 5, 2
 
@@ -121,6 +122,16 @@ def lsh_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _similar(similarity.with_copies(found, sets, "business_id"))
 
 
+def jaccard_pairs_w3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _similar(similarity.jaccard_pairs(pairs(spark, sf_dir), "business_id", "user_id", W3_JACCARD))
+
+
+def lsh_pairs_w3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, sets = _with_sets(spark, sf_dir)
+    found = similarity.lsh_pairs(rows, "business_id", "user_id", W3_JACCARD, similarity.hash_constants(W3_HASHES), 1, sets)
+    return _similar(similarity.with_copies(found, sets, "business_id"))
+
+
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.word_counts(reviews(spark, sf_dir, "review_id", "business_id", "text"), table(spark, sf_dir, "stop_words"))
 
@@ -290,7 +301,7 @@ QUERIES = {
     for f in (
         explore_counts, top_users, top_words, category_avg_stars, category_avg_eager, business_over_n, partition_sizes, partition_sizes_by_business,
         state_user_business, frequent_items_k1, frequent_items_k2, frequent_items_k3, frequent_items_swapped, frequent_items_min_basket, frequent_items_all,
-        jaccard_pairs, minhash_signatures, lsh_candidates, lsh_pairs, doc_freq, tfidf_topk, binary_user_profile, cosine_score,
+        jaccard_pairs, minhash_signatures, lsh_candidates, lsh_pairs, jaccard_pairs_w3, lsh_pairs_w3, doc_freq, tfidf_topk, binary_user_profile, cosine_score,
         item_pearson, user_pearson, predict_item, predict_user, cooccurrence_edges, connected_components, label_propagation, edge_betweenness,
         girvan_newman, modularity, bloom_membership, fm_distinct, fm_sliding, trending_tags, reservoir_sample,
         kmeans_assign, kmeans_step, cluster_sizes, cluster_summaries, kmeans_clusters, mahalanobis_assign, bfr_clusters, bfr_rounds, nmi, p6_found,
