@@ -100,3 +100,9 @@ def test_equal_signatures_of_different_sets_keep_their_pairs(spark):
     jaccard = lambda a, b: len({*sets[a]} & {*sets[b]}) / len({*sets[a]} | {*sets[b]})
     found = similarity.with_copies(similarity.lsh_pairs(rows, "k", "u", 0.4, similarity.hash_constants(4), 2, copies), copies, "k")
     assert {(r["key_a"], r["key_b"]): r["similarity"] for r in found.collect()} == {p: jaccard(*p) for p in expected if jaccard(*p) >= 0.4}
+
+
+def test_itemsets_of_more_than_ten_items(spark):
+    rows = spark.createDataFrame([(b, i) for b in range(3) for i in range(11)] + [(9, 0), (9, 77)], "basket int, item int")
+    found = itemsets.all_frequent_itemsets(rows, 3).groupBy("size").agg(F.count("*").alias("sets"), F.max("support").alias("most")).collect()
+    assert {r["size"]: (r["sets"], r["most"]) for r in found} == {k: (math.comb(11, k), 4 if k == 1 else 3) for k in range(1, 12)}
