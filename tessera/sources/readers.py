@@ -43,7 +43,7 @@ def stop_words(spark: SparkSession, path: str) -> DataFrame:
 def points(spark: SparkSession, path: str) -> DataFrame:
     """(id, features) from lines ``id,f1,...,fd`` without a header."""
     parts = F.split("value", ",")
-    return spark.read.text(path).filter(F.length("value") > 0).select(parts[0].alias("id"), F.transform(F.slice(parts, 2, 10_000), lambda x: x.cast("double")).alias("features"))
+    return spark.read.text(path).filter(F.length("value") > 0).select(parts[0].alias("id"), F.transform(F.slice(parts, 2, F.size(parts) - 1), lambda x: x.cast("double")).alias("features"))
 
 
 def point_chunks(spark: SparkSession, folder: str) -> list[DataFrame]:

@@ -47,3 +47,9 @@ def test_text_formats(spark, tmp_path):
     assert (tmp_path / "f").read_text() == "1 0"
     writers.json_object({"A": 1}, str(tmp_path / "o"), 4)
     assert json.loads((tmp_path / "o").read_text()) == {"A": 1}
+
+
+def test_points_keep_all_features(spark, tmp_path):
+    (tmp_path / "wide.txt").write_text("p," + ",".join(map(str, range(10_001))) + "\nq,1\nr\n")
+    found = {r["id"]: r["features"] for r in readers.points(spark, str(tmp_path / "wide.txt")).collect()}
+    assert found == {"p": [float(i) for i in range(10_001)], "q": [1.0], "r": []}
