@@ -53,3 +53,9 @@ def test_empty_graph(spark):
     assert graph.connected_components(none).collect() == []
     assert graph.edge_betweenness(none).collect() == []
     assert graph.girvan_newman(none).collect() == []
+
+
+def test_betweenness_of_a_long_chain_has_no_cap(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(20)], "src long, dst long")
+    values = {(r["src"], r["dst"]): r["value"] for r in graph.edge_betweenness(chain).collect()}
+    assert values == {(i, i + 1): (i + 1) * (20 - i) for i in range(20)}
