@@ -17,6 +17,13 @@ WITH r AS ({REVIEWS}), t AS (SELECT review_id, unnest(regexp_extract_all(lower(t
 c AS (SELECT term, count(*) AS occurrences, count(DISTINCT review_id) AS records FROM t GROUP BY term),
 m AS (SELECT *, CASE WHEN records <= 2 THEN 'rare' WHEN records > 0.2 * (SELECT count(text) FROM r) THEN 'common' END AS mark FROM c)"""
 
+NGRAMS = f"""
+WITH r AS ({REVIEWS}), w AS (SELECT review_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM r WHERE text IS NOT NULL),
+t AS (SELECT review_id, terms, array_to_string(w[i:i + terms - 1], ' ') AS gram
+      FROM (SELECT review_id, w, terms, unnest(range(1, len(w) - terms + 2)) AS i FROM w, (VALUES (1), (2), (3)) s(terms))),
+c AS (SELECT gram, terms, count(*) AS occurrences, count(DISTINCT review_id) AS records FROM t GROUP BY ALL)
+SELECT *, CASE WHEN records <= 2 THEN 'rare' WHEN records > 0.2 * (SELECT count(text) FROM r) THEN 'common' END AS mark FROM c"""
+
 COUNTS = f"""
 WITH r AS ({REVIEWS}), t AS (SELECT b, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM r WHERE b <> ''),
 c AS (SELECT b, term, count(*) AS n FROM t WHERE length(term) >= 3
@@ -94,6 +101,7 @@ SELECT business_a, business_b FROM s JOIN n na ON na.b = business_a JOIN n nb ON
 WHERE k * t >= 12 * na.n * nb.n""",
     "p3_found": f"{TERMS} SELECT term, mark FROM m WHERE mark IS NOT NULL",
     "p3_terms": f"{TERMS} SELECT term, occurrences, records, mark FROM m",
+    "p3_ngrams": NGRAMS,
     "p4_found": f"""{COUNTS}, w AS (SELECT b, term, round(n / m * log2(nn / d), 9) AS score FROM k, s)
 SELECT b AS business_id, term FROM w WHERE score > 0
 QUALIFY row_number() OVER (PARTITION BY b ORDER BY score DESC, term) <= 5""",

@@ -34,6 +34,12 @@ def p3_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.select(F.col("gram").alias("term"), "occurrences", "records", "mark")
 
 
+def p3_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every n-gram of 1 to 3 terms of the reviews with its occurrences, its reviews and its mark."""
+    grams = frequency.marked_terms(reviews(spark, sf_dir, "review_id", "text"), "text", max_n=3)
+    return grams.select("gram", "terms", "occurrences", "records", "mark")
+
+
 def _business_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reviews(spark, sf_dir, "review_id", "business_id", "text")
 
@@ -99,4 +105,4 @@ def p10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.truncation_by_source(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_terms, p4_found, p4_relevance, p5_found, p5_surprise, p7_sample, p8_ids, p9_found, p9_items, p10_found, p10_sources)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_terms, p3_ngrams, p4_found, p4_relevance, p5_found, p5_surprise, p7_sample, p8_ids, p9_found, p9_items, p10_found, p10_sources)}
