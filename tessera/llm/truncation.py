@@ -82,7 +82,8 @@ SELECT beginning, max(n) AS longer
 FROM (SELECT explode(transform(sequence(1, char_length(w) - 1), i -> substring(w, 1, i))) AS beginning, n FROM {vocabulary} WHERE n >= 3 AND char_length(w) > 1)
 GROUP BY beginning"""
 
-# Lengths, in characters or bytes, at which at least 2 % of a source's texts pile up, 6 times as many as at others near by.
+# Lengths, in characters or bytes, at which a source's texts pile up: 6 times as many as at others near by, and at least 20, in sources of
+# under 1000 texts 2 % and at least 5.
 LIMITS = """
 WITH sizes AS (
   SELECT source, 'n' AS unit, n AS size, count(*) AS k FROM {ends} GROUP BY source, n
@@ -90,7 +91,7 @@ WITH sizes AS (
 near AS (
   SELECT *, (sum(k) OVER (PARTITION BY source, unit ORDER BY size RANGE BETWEEN 20 PRECEDING AND 20 FOLLOWING) - k) / 40.0D AS around,
          sum(k) OVER (PARTITION BY source, unit) AS texts FROM sizes)
-SELECT source, unit, size FROM near WHERE k >= 5 AND k >= 0.02D * texts AND k >= 6 * around"""
+SELECT source, unit, size FROM near WHERE k >= 5 AND k >= least(20, 0.02D * texts) AND k >= 6 * around"""
 
 VERDICTS = """
 WITH limited AS (

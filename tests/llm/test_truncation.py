@@ -56,6 +56,18 @@ def test_field_limit(spark):
     assert {x["doc_id"] for x in truncation.truncated(df).collect()} == cut
 
 
+def test_field_limit_of_few_texts_of_a_large_source(spark):
+    r = random.Random(3)
+    rows = corpus()
+    for i in range(2400):
+        rows.append((5000 + i, "large", (sentence(r) if i % 10 else sentence(r).split(" behind")[0]) + "."))
+    for i in range(40):
+        t = ". ".join(sentence(r) for _ in range(5)) + ". " + sentence(r).split(" behind")[0]
+        rows.append((9000 + i, "large", t[-250:]))
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    assert {x["doc_id"] for x in truncation.truncated(df).collect()} == {9000 + i for i in range(40)}
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, source string, text string")
     assert truncation.truncated(df).collect() == [] == truncation.truncation_by_source(df).collect()
