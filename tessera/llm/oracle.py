@@ -1,8 +1,9 @@
-"""The same results in plain DuckDB SQL, by other means than the operators."""
+"""The same results in plain DuckDB SQL, by other means than the operators.
 
-from __future__ import annotations
+There is none for truncation: SQL for it could only repeat the operator's rules with its constants. Its tests plant cuts instead.
+"""
 
-from tessera.llm.truncation import BLANKS, NEVER, PRIOR, RARE
+from __future__ import annotations
 
 PAIRS = """
     SELECT DISTINCT trim(user_id, ' ') AS u, trim(business_id, ' ') AS b FROM train_review
@@ -32,55 +33,6 @@ d AS (SELECT term, count(*) AS d FROM c GROUP BY term HAVING count(*) >= 3),
 k AS (SELECT c.*, d.d, max(n) OVER (PARTITION BY b) AS m, sum(n) OVER (PARTITION BY b) AS len FROM c JOIN d USING (term)),
 s AS (SELECT count(DISTINCT b)::DOUBLE AS nn, sum(n)::DOUBLE / count(DISTINCT b) AS mean FROM k)"""
 
-# The rules of truncation in the dialect of DuckDB.
-JUDGED = r"""
-WITH trimmed AS (SELECT doc_id, source, text, rtrim(text, '<BLANKS>') AS t FROM documents WHERE text IS NOT NULL),
-untagged AS (SELECT doc_id, source, text, CASE WHEN right(t, 1) = '>' THEN regexp_replace(t, '(\s*</?[A-Za-z][^<>]*>)+$', '') ELSE t END AS t FROM trimmed WHERE t <> ''),
-unmarked AS (
-  SELECT *, CASE WHEN right(t, 6) = '(more)' THEN rtrim(left(t, length(t) - 6), '. ')
-                 WHEN right(t, 5) = '[...]' THEN rtrim(left(t, length(t) - 5), ' ')
-                 WHEN right(t, 3) = '[…]' THEN rtrim(left(t, length(t) - 3), ' ')
-                 WHEN right(t, 1) = '…' OR right(t, 3) = '...' THEN rtrim(t, '.… ') ELSE t END AS body,
-         right(t, 6) = '(more)' OR right(t, 5) = '[...]' OR right(t, 3) = '[…]' AS explicit FROM untagged),
-ends AS (
-  SELECT doc_id, source, length(text) AS n, strlen(text) AS bytes, body, body <> t AS marked, explicit,
-         contains(body, '<') AND regexp_matches(string_split(body, '<')[-1], '^(/?[A-Za-z][^<>]*)?/?$') AS in_tag,
-         right(body, 1) IN (chr(65533), chr(8205)) OR (regexp_matches(right(body, 1), '[🇦-🇿]') AND length(regexp_extract(body, '[🇦-🇿]+$')) % 2 = 1) AS in_char,
-         right(body, 1) IN (',', ';', ':', '–', '-') AS in_clause, regexp_matches(right(body, 1), '[\p{L}\p{N}\p{M}]') AS open_end
-  FROM unmarked),
-words AS (
-  SELECT doc_id, marked, open_end, list_transform(regexp_extract_all(lower(body), '[\p{L}\p{M}\p{N}''’]+|[#:–]|[.!?。…"()\[\]\n]+|</?[a-z][^<>]*>'),
-         lambda x: CASE WHEN contains('.!?。…"()[]' || chr(10) || '<', left(x, 1)) THEN '¶' ELSE x END) AS w FROM ends),
-each AS (
-  SELECT doc_id, marked, open_end, w[i] AS w3, CASE WHEN i < 2 OR w[i - 1] = '¶' THEN '^' ELSE w[i - 1] END AS w2,
-         CASE WHEN i < 3 OR w[i - 1] = '¶' OR w[i - 2] = '¶' THEN '^' ELSE w[i - 2] END AS w1, i = len(w) AS last, CASE WHEN i < len(w) THEN w[i + 1] END AS next
-  FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM words)),
-trigrams AS (SELECT w1, w2, w3, count(*) FILTER (last OR next = '¶') AS t, count(*) FILTER (next <> '¶') AS n FROM each WHERE w3 <> '¶' AND NOT (marked AND last) GROUP BY ALL),
-vocabulary AS (SELECT w3 AS w, sum(t + n) AS n FROM trigrams GROUP BY w3),
-frequent AS (SELECT w FROM vocabulary WHERE n >= <RARE> * (SELECT sum(n) FROM vocabulary) UNION ALL SELECT '^'),
-c3 AS (SELECT coalesce(a.w, '<r>') AS k1, coalesce(b.w, '<r>') AS k2, coalesce(c.w, '<r>') AS k3, sum(t) AS t, sum(n) AS n
-  FROM trigrams LEFT JOIN frequent a ON a.w = w1 LEFT JOIN frequent b ON b.w = w2 LEFT JOIN frequent c ON c.w = w3 GROUP BY ALL),
-c2 AS (SELECT k2, k3, sum(t) AS t, sum(n) AS n FROM c3 GROUP BY ALL), c1 AS (SELECT k3, sum(t) AS t, sum(n) AS n FROM c3 GROUP BY ALL),
-beginnings AS (SELECT beginning, max(n) AS longer FROM (SELECT unnest(list_transform(range(1, length(w)), lambda i: left(w, i))) AS beginning, n FROM vocabulary WHERE n >= 3) GROUP BY beginning),
-sizes AS (SELECT source, 'n' AS unit, n AS size, count(*) AS k FROM ends GROUP BY ALL UNION ALL SELECT source, 'bytes', bytes, count(*) FROM ends GROUP BY ALL),
-near AS (SELECT *, (sum(k) OVER (PARTITION BY source, unit ORDER BY size RANGE BETWEEN 20 PRECEDING AND 20 FOLLOWING) - k) / 40.0::DOUBLE AS around,
-  sum(k) OVER (PARTITION BY source, unit) AS texts FROM sizes),
-limits AS (SELECT source, unit, size FROM near WHERE k >= 5 AND k >= 0.02::DOUBLE * texts AND k >= 6 * around),
-limited AS (SELECT e.doc_id, bool_or(l.size IS NOT NULL) AS at_limit FROM ends e LEFT JOIN limits l ON l.source = e.source
-  AND ((l.unit = 'n' AND e.n BETWEEN l.size - 1 AND l.size) OR (l.unit = 'bytes' AND e.bytes BETWEEN l.size - 3 AND l.size)) GROUP BY e.doc_id),
-keyed AS (SELECT f.doc_id, (NOT f.marked)::INT AS own, f.w3, coalesce(a.w, '<r>') AS k1, coalesce(b.w, '<r>') AS k2, coalesce(c.w, '<r>') AS k3
-  FROM each f LEFT JOIN frequent a ON a.w = f.w1 LEFT JOIN frequent b ON b.w = f.w2 LEFT JOIN frequent c ON c.w = f.w3 WHERE last AND open_end AND w3 <> '¶'),
-counts AS (SELECT k.doc_id, coalesce(v.n, 0) - k.own AS seen, coalesce(b.longer, 0) AS longer,
-  greatest(coalesce(x.t, 0) - k.own, 0)::DOUBLE AS t3, coalesce(x.n, 0) AS n3, greatest(coalesce(y.t, 0) - k.own, 0)::DOUBLE AS t2, coalesce(y.n, 0) AS n2,
-  greatest(coalesce(z.t, 0) - k.own, 0)::DOUBLE AS t1, coalesce(z.n, 0) AS n1
-  FROM keyed k LEFT JOIN vocabulary v ON v.w = k.w3 LEFT JOIN beginnings b ON b.beginning = k.w3 LEFT JOIN c3 x ON x.k1 = k.k1 AND x.k2 = k.k2 AND x.k3 = k.k3
-    LEFT JOIN c2 y ON y.k2 = k.k2 AND y.k3 = k.k3 LEFT JOIN c1 z ON z.k3 = k.k3),
-p1 AS (SELECT *, t1 / (t1 + n1 + 1) AS p FROM counts), p2 AS (SELECT *, (t2 + <PRIOR> * p) / (t2 + n2 + <PRIOR>) AS q FROM p1),
-p3 AS (SELECT doc_id, longer >= 3 AND longer >= 20 * seen AS fragment, (t3 + <PRIOR> * q) / (t3 + n3 + <PRIOR>) AS terminal FROM p2),
-judged AS (SELECT e.doc_id, e.source, explicit OR in_tag OR in_char OR in_clause
-  OR coalesce(fragment OR terminal < CASE WHEN at_limit THEN 0.5 ELSE <NEVER> END, false) AS cut FROM ends e JOIN limited USING (doc_id) LEFT JOIN p3 USING (doc_id))
-""".replace("<BLANKS>", BLANKS).replace("<RARE>", f"{RARE}::DOUBLE").replace("<PRIOR>", f"{PRIOR}::DOUBLE").replace("<NEVER>", f"{NEVER}::DOUBLE")
-
 ORACLE = {
     "p1_found": f"""
 WITH p AS ({PAIRS}), n AS (SELECT b, count(*) AS n FROM p GROUP BY b HAVING count(*) >= 5),
@@ -105,6 +57,4 @@ WHERE k * t >= 12 * na.n * nb.n""",
     "p4_found": f"""{COUNTS}, w AS (SELECT b, term, round(n / m * log2(nn / d), 9) AS score FROM k, s)
 SELECT b AS business_id, term FROM w WHERE score > 0
 QUALIFY row_number() OVER (PARTITION BY b ORDER BY score DESC, term) <= 5""",
-    "p10_found": f"{JUDGED} SELECT doc_id FROM judged WHERE cut",
-    "p10_sources": f"{JUDGED} SELECT source, count(*) AS texts, sum(cut::INT)::BIGINT AS cut, round(sum(cut::INT) / count(*), 6) AS share FROM judged GROUP BY source",
 }
