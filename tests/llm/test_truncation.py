@@ -71,3 +71,29 @@ def test_field_limit_of_few_texts_of_a_large_source(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, source string, text string")
     assert truncation.truncated(df).collect() == [] == truncation.truncation_by_source(df).collect()
+
+
+def test_reasons(spark):
+    rows = corpus() + [(i, "b", t) for i, t in {**CUT, **WHOLE}.items()]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    reasons = {r["doc_id"]: r["reason"] for r in truncation.judged(df).filter("cut").collect()}
+    assert reasons == {1000: "trigram", 1001: "trigram", 1002: "trigram", 1003: "tag", 1004: "character", 1005: "mark", 1006: "clause", 1007: "mark"}
+
+
+def test_planted_cuts(spark, duck):
+    """Whole sentences of the documents, half of them cut at a random place within the last sentence."""
+    r = random.Random(4)
+    texts = [t for (t,) in duck.execute("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' WHERE regexp_matches(text, '[a-z]{3}[.!]$') AND lang = 'en' ORDER BY doc_id").fetchall()]
+    rows, cut = [], set()
+    for i, t in enumerate(dict.fromkeys(texts)):
+        if i % 4 == 0:
+            start = max(t.rfind(x, 0, -2) for x in ".!?\n") + 1
+            words = t[start:].split()
+            if len(words) > 4:
+                t = t[: start + len(" ".join(words[:3])) + 2 + r.randrange(len(" ".join(words[3:-1])))]
+                if t[-1] not in ".!?":
+                    cut.add(i)
+        rows.append((i, f"s{i % 3}", t))
+    found = {x["doc_id"] for x in truncation.truncated(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert len(cut) > 60
+    assert len(found & cut) >= 0.9 * len(cut) and len(found & cut) >= 0.98 * len(found)
