@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+ASCII_WORD = "[A-Za-z]+"
 PUNCTUATION = r"[ \(\[,\n.!?:;\]\)]+"
 
 
@@ -25,4 +26,4 @@ def comma_list(text: Column) -> Column:
 
 def ascii_word(text: Column) -> Column:
     """Is it made of ASCII letters only?"""
-    return text.rlike("^[A-Za-z]+$")
+    return text.rlike(f"^{ASCII_WORD}$")

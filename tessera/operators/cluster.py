@@ -8,7 +8,7 @@ as constants. Points never leave the executors.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import materialized
+from tessera.session import dropped, materialized, scratch_path
 
 EPSILON = 1e-9
 
@@ -189,7 +189,7 @@ class Bfr(NamedTuple):
     rounds: list[tuple[int, int, int, int, int, int]]
 
 
-def bfr(chunks: list[DataFrame], k: int, seed: int = 0, few: int = 10, fewer: int = 5, small: int = 10) -> Bfr:
+def bfr(chunks: Iterable[DataFrame], k: int, seed: int = 0, few: int = 10, fewer: int = 5, small: int = 10) -> Bfr:
     """Out-of-core clustering: chunk after chunk, keeping summaries of points instead of points.
 
     1. Of the first chunk, k-means with 3 k; clusters of at most ``few`` points are outliers. k-means
@@ -202,12 +202,30 @@ def bfr(chunks: list[DataFrame], k: int, seed: int = 0, few: int = 10, fewer: in
        of sigmas is at most the mean of the discarded and compressed sigmas.
     3. In the end compressed clusters within 2 sqrt(d) of a discarded one join it; all other points
        are outliers. A sigma of 0 counts as a very small one.
+
+    ``chunks`` may be an iterator: each is read when its turn comes, and only its points' labels, a row
+    (id, kind, cluster) appended to one table, stay. No chunks, or an empty first one, give no points.
     """
-    chunks = [materialized(c.select("id", F.col("features").cast("array<double>").alias("features")), "chunk") for c in chunks]
-    first = chunks[0]
-    dims = len(first.first()["features"])
-    limit = 2 * math.sqrt(dims)
-    owners: list[DataFrame] = []  # (id, kind, cluster) of points already summarised; clusters are stable numbers
+    remaining = iter(chunks)
+    first = next(remaining, None)
+    if first is None:
+        raise ValueError("there must be a chunk")
+    spark, kind_of_id = first.sparkSession, first.schema["id"].dataType.simpleString()
+    labels = scratch_path(spark, "labels")
+    spark.createDataFrame([], f"id {kind_of_id}, kind string, cluster int").write.parquet(labels)
+    read = lambda chunk: materialized(chunk.select("id", F.col("features").cast("array<double>").alias("features")), "chunk")
+    first = read(first)
+    head = first.first()
+    if head is None:
+        return Bfr(first.select("id", F.lit(-1).cast("int").alias("cluster")), [])
+    limit = 2 * math.sqrt(len(head["features"]))
+
+    def note(points: DataFrame, kind: str, numbers: dict[int, int]) -> None:
+        """Appends the label of points already summarised; the numbers of clusters are stable."""
+        if numbers:
+            named = F.create_map(*[F.lit(x) for c, i in numbers.items() for x in (c, i)])
+            points.select("id", F.lit(kind).alias("kind"), named[F.col("cluster")].cast("int").alias("cluster")).write.mode("append").parquet(labels)
+
     placed = materialized(assign(first, kmeans(first, 3 * k, seed=seed)), "placed")
     crowded = lambda a, n: [r["cluster"] for r in a.groupBy("cluster").count().filter(F.col("count") > n).collect()]
     keep = crowded(placed, few)
@@ -221,10 +239,7 @@ def bfr(chunks: list[DataFrame], k: int, seed: int = 0, few: int = 10, fewer: in
         outer = outer.unionByName(lost)
         inner = assigned.filter(F.col("cluster").isin(keep)).select("id", "features")
     discard = dict(enumerate(s for _, s in sorted(summaries(assigned).items())))
-    numbers = {c: i for i, c in enumerate(sorted(keep))}
-    if numbers:
-        named = F.create_map(*[F.lit(x) for c, i in numbers.items() for x in (c, i)])
-        owners.append(assigned.select("id", F.lit("DS").alias("kind"), named[F.col("cluster")].alias("cluster")))
+    note(assigned, "DS", {c: i for i, c in enumerate(sorted(keep))})
     compressed: dict[int, Summary] = {}
     merged: dict[int, int] = {}
     rounds = []
@@ -239,17 +254,18 @@ def bfr(chunks: list[DataFrame], k: int, seed: int = 0, few: int = 10, fewer: in
         new = {c: len(merged) + i for i, c in enumerate(sorted(several))}
         for c, i in new.items():
             compressed[i], merged[i] = several[c], i
-        if new:
-            names = F.create_map(*[F.lit(x) for c, i in new.items() for x in (c, i)])
-            owners.append(own.filter(F.col("cluster").isin(list(new))).select("id", F.lit("CS").alias("kind"), names[F.col("cluster")].alias("cluster")))
-        return materialized(own.filter(~F.col("cluster").isin(list(new))).select("id", "features"), "retained")
+        note(own.filter(F.col("cluster").isin(list(new))), "CS", new)
+        stay = materialized(own.filter(~F.col("cluster").isin(list(new))).select("id", "features"), "retained")
+        dropped(own)
+        return stay
 
     def report() -> None:
         rounds.append((len(rounds) + 1, len(discard), sum(s.n for s in discard.values()), len(compressed), sum(s.n for s in compressed.values()), retained.count()))
 
     retained = compress(materialized(outer, "outliers"), k)
+    dropped(first, placed, assigned)
     report()
-    for chunk in chunks[1:]:
+    for chunk in map(read, remaining):
         ds, cs = sorted(discard), sorted(compressed)
         means = ([float(np.mean([discard[i].sigma for i in ds]))] if ds else []) + ([float(np.mean([compressed[i].sigma for i in cs]))] if cs else [])
         found = materialized(mahalanobis_assign(chunk, {"DS": [discard[i] for i in ds], "CS": [compressed[i] for i in cs]}, limit), "found")
@@ -257,13 +273,13 @@ def bfr(chunks: list[DataFrame], k: int, seed: int = 0, few: int = 10, fewer: in
             own = found.filter(F.col("kind") == kind)
             for c, s in summaries(own).items():
                 table[ids[c]] = table[ids[c]].plus(s)
-            if ids:
-                names = F.create_map(*[F.lit(x) for c, i in enumerate(ids) for x in (c, i)])
-                owners.append(own.select("id", "kind", names[F.col("cluster")].alias("cluster")))
+            note(own, kind, dict(enumerate(ids)))
         new = found.filter(F.col("kind") == "RS").select("id", "features")
         if not new.isEmpty():
-            retained = compress(retained.unionByName(new), small)
+            before, retained = retained, compress(retained.unionByName(new), small)
+            dropped(before)
             _merge(compressed, merged, sum(means))
+        dropped(found, chunk)
         report()
     joins = {}
     for i, s in list(compressed.items()) if discard else ():
@@ -278,12 +294,12 @@ def bfr(chunks: list[DataFrame], k: int, seed: int = 0, few: int = 10, fewer: in
             i = merged[i]
         return joins.get(i, -1)
 
-    last = F.create_map(*[F.lit(x) for i in merged for x in (i, final(i))]) if merged else None
-    out = retained.select("id", F.lit(-1).cast("int").alias("cluster"))
-    for o in owners:
-        cluster = F.col("cluster") if last is None else F.when(F.col("kind") == "DS", F.col("cluster")).otherwise(last[F.col("cluster")])
-        out = out.unionByName(o.select("id", cluster.cast("int").alias("cluster")))
-    return Bfr(out, rounds)
+    cluster = F.col("cluster")
+    if merged:
+        last = F.create_map(*[F.lit(x) for i in merged for x in (i, final(i))])
+        cluster = F.when(F.col("kind") == "DS", cluster).otherwise(last[cluster])
+    noted = spark.read.schema(f"id {kind_of_id}, kind string, cluster int").parquet(labels)
+    return Bfr(noted.select("id", cluster.cast("int").alias("cluster")).unionByName(retained.select("id", F.lit(-1).cast("int").alias("cluster"))), rounds)
 
 
 def _merge(compressed: dict[int, Summary], merged: dict[int, int], most: float) -> None:

@@ -55,8 +55,13 @@ def businesses_over(reviews: DataFrame, n: int) -> DataFrame:
     return counts.filter(F.col("reviews") > n)
 
 
+def partition_count(df: DataFrame) -> DataFrame:
+    """One row: in how many partitions ``df`` is, empty ones too."""
+    return df.sparkSession.createDataFrame([(df.rdd.getNumPartitions(),)], "partitions int")
+
+
 def partition_sizes(df: DataFrame, partitions: int | None = None, *by: str) -> DataFrame:
-    """Rows per partition, as read or after hash partitioning ``by`` columns into ``partitions``."""
+    """Rows per partition, as read, after hash partitioning ``by`` columns into ``partitions``, or without columns in turn."""
     placed = df.repartition(partitions, *[F.col(c) for c in by]) if partitions else df
     return placed.groupBy(F.spark_partition_id().alias("partition")).agg(F.count("*").alias("rows"))
 

@@ -8,13 +8,13 @@ from __future__ import annotations
 from collections import deque
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.common_pairs import pairs_in_common
-from tessera.session import materialized
+from tessera.session import dropped, materialized
 
-IN_TASK = 20_000  # edges up to which a component is peeled within one task
+STEPS = 1e9  # edges^2 x nodes up to which a component is peeled within one task: at most some minutes
 
 
 def coreview_edges(rows: DataFrame, threshold: int) -> DataFrame:
@@ -37,17 +37,20 @@ def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
 
     Every round takes the smallest label among the neighbours and then the label of that label,
     so that distances halve; it ends when no label changes. Each round's labels are written to
-    the shared folder, which cuts the lineage.
+    the shared folder, which cuts the lineage, and removed when the next ones are there.
     """
     links = materialized(both_ways(edges), "links")
-    labels = materialized(links.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node")), "labels")
+    written = materialized(links.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node")), "labels")
+    labels = written
     for _ in range(rounds):
         heard = links.join(labels, links["dst"] == labels["node"]).groupBy("src").agg(F.min("component").alias("heard"))
         nearer = labels.join(heard, F.col("node") == F.col("src"), "left").select("node", F.col("component").alias("was"), F.least("component", "heard").alias("near"))
         jump = nearer.select(F.col("node").alias("at"), F.col("near").alias("next"))
         moved = materialized(nearer.join(jump, F.col("near") == F.col("at"), "left").select("node", "was", F.coalesce(F.least("near", "next"), "near").alias("component")), "labels")
-        labels = moved.select("node", "component")
+        dropped(written)
+        labels, written = moved.select("node", "component"), moved
         if moved.filter(F.col("was") != F.col("component")).isEmpty():
+            dropped(links)
             return labels
     raise RuntimeError(f"labels still change after {rounds} rounds")
 
@@ -85,7 +88,8 @@ def edge_betweenness(edges: DataFrame) -> DataFrame:
 
     Breadth-first search from all sources at once: level by level the frontier (source, node,
     paths) is joined to the edges; credits then flow back the same way. Levels are written to the
-    shared folder. The state has a row per (source, reached node).
+    shared folder. The exact values need a row per (source, reached node), V^2 in a connected graph:
+    the bound of what this can do. Rows are spread by (source, node), so no task holds a whole search.
     """
     links = materialized(both_ways(edges), "links")
     start = links.select(F.col("src").alias("source")).distinct().select("source", F.col("source").alias("node"), F.lit(1.0).alias("paths"))
@@ -105,7 +109,8 @@ def edge_betweenness(edges: DataFrame) -> DataFrame:
         share = materialized(down.join(upper, ["source", "node"]).select("source", "node", "child", (F.col("credit") * F.col("paths") / F.col("child_paths")).alias("flow")), "flows")
         flows = share.select("node", "child", "flow") if flows is None else flows.unionByName(share.select("node", "child", "flow"))
         own = share.groupBy("source", "node").agg(F.sum("flow").alias("flow"))
-        credit = materialized(upper.join(own, ["source", "node"], "left").select("source", "node", "paths", (F.coalesce("flow", F.lit(0.0)) + 1).alias("credit")), "credit")
+        last, credit = credit, materialized(upper.join(own, ["source", "node"], "left").select("source", "node", "paths", (F.coalesce("flow", F.lit(0.0)) + 1).alias("credit")), "credit")
+        dropped(last)
     if flows is None:
         return edges.select("src", "dst", F.lit(0.0).alias("value")).limit(0)
     return flows.groupBy(F.least("node", "child").alias("src"), F.greatest("node", "child").alias("dst")).agg(F.round(F.sum("flow") / 2, 9).alias("value"))
@@ -196,7 +201,8 @@ def _peel_distributed(edges: DataFrame, component, m: float) -> list[tuple]:
         top = edge_betweenness(left).orderBy(F.col("value").desc(), "src", "dst").first()
         if top is None:
             return rows
-        left = materialized(left.filter(~((F.col("src") == top["src"]) & (F.col("dst") == top["dst"]))), "edges")
+        cut, left = left, materialized(left.filter(~((F.col("src") == top["src"]) & (F.col("dst") == top["dst"]))), "edges")
+        dropped(cut)
         after = materialized(labelled(left), "labels")
         ends = {r["node"]: r["component"] for r in after.filter(F.col("node").isin([top["src"], top["dst"]])).collect()}
         gain = 0.0
@@ -204,38 +210,58 @@ def _peel_distributed(edges: DataFrame, component, m: float) -> list[tuple]:
             old = before.filter(F.col("node") == top["src"]).first()["component"]
             gain = parts(after, list(ends.values())) - parts(before, [old])
         rows.append((component, len(rows) + 1, top["value"], top["src"], top["dst"], gain))
+        dropped(before)
         before = after
 
 
-def girvan_newman(edges: DataFrame, in_task: int = IN_TASK) -> DataFrame:
+def running_sum(rows: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """``rows`` with ``name``, the sum of ``value`` up to each row in a total order, rising by the columns ``order``.
+
+    Rows are range-partitioned by the order, each range is summed by itself, and the sums of the
+    earlier ranges, one row per range, are added.
+    """
+    keys = {f"__o{i}": c for i, c in enumerate(order)}
+    placed = rows.withColumns(keys).repartitionByRange(*[F.col(k) for k in keys]).withColumn("__range", F.spark_partition_id())
+    placed = materialized(placed, "ranges")
+    own = placed.withColumn(name, F.sum(value).over(Window.partitionBy("__range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)))
+    totals = placed.groupBy("__range").agg(F.sum(value).alias("__sum"))
+    earlier = totals.alias("t").join(totals.alias("u"), F.col("u.__range") < F.col("t.__range")).groupBy(F.col("t.__range").alias("__range")).agg(F.sum("u.__sum").alias("__before"))
+    out = own.join(F.broadcast(earlier), "__range", "left")  # a row per range
+    return out.withColumn(name, F.col(name) + F.coalesce("__before", F.lit(0.0))).drop("__range", "__before", *keys)
+
+
+def girvan_newman(edges: DataFrame, steps: float = STEPS) -> DataFrame:
     """(node, component): the partition of largest modularity on the way of removing the edge of highest betweenness.
 
     Betweenness changes in the edge's own component only, so components are peeled independently
     and their removals merged into the global order: an edge is removed as soon as it is the
     highest among the components' next ones, i.e. in the order of the smallest value up to it. Ties
-    go to the smaller edge; among equal modularities the earlier partition wins. The two loops
-    are sequential by nature; the window runs over splits only, fewer than nodes. A component of
-    up to ``in_task`` edges is peeled by one task, a larger one by distributed searches.
+    go to the smaller edge; among equal modularities the earlier partition wins. The removals within
+    a component follow from one another, about E x V x E steps in all. A component of up to ``steps`` of
+    them is peeled by one task, as many at once as there are tasks; beyond that every removal is
+    a distributed search, with the same result.
     """
     spark = edges.sparkSession
     edges = materialized(edges.select("src", "dst"), "edges")
-    parts = connected_components(edges)
+    parts = materialized(connected_components(edges), "parts")
     placed = materialized(edges.join(parts.select(F.col("node").alias("src"), "component"), "src"), "placed")
     m = edges.count()
-    sizes = placed.groupBy("component").agg(F.count("*").alias("k"))
+    sizes = placed.groupBy("component").agg(F.count("*").cast("double").alias("k")).join(parts.groupBy("component").agg(F.count("*").alias("v")), "component")
+    sizes = materialized(sizes.withColumn("large", F.col("k") * F.col("k") * F.col("v") > steps), "sizes")
     kind = edges.schema["src"].dataType.simpleString()
     schema = f"component {kind}, seq long, value double, src {kind}, dst {kind}, gain double"
-    small = placed.join(sizes.filter(F.col("k") <= in_task).select("component"), "component", "left_semi")
+    small = placed.join(sizes.filter("NOT large").select("component"), "component", "left_semi")
     removed = small.withColumn("m", F.lit(float(max(m, 1)))).groupBy("component").applyInPandas(_peel, schema)
-    for r in sizes.filter(F.col("k") > in_task).toLocalIterator():
+    for r in sizes.filter("large").toLocalIterator():
         own = placed.filter(F.col("component") == F.lit(r["component"]))
         removed = removed.unionByName(spark.createDataFrame(_peel_distributed(own, r["component"], float(m)), schema))
     removed = materialized(removed, "removed")
     so_far = Window.partitionBy("component").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     # the removal that holds up this one: the smallest value, of equal ones the first
     keyed = removed.withColumn("key", F.min(F.struct("value", "seq", "src", "dst")).over(so_far))
-    order = [F.col("key.value").desc(), "key.src", "key.dst", "component", "seq"]
-    splits = keyed.filter(F.col("gain") != 0).withColumn("q", F.round(F.sum("gain").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)), 12))
+    order = [F.col("key.value").desc(), F.col("key.src"), F.col("key.dst"), F.col("component"), F.col("seq")]
+    rising = [-F.col("key.value"), *order[1:]]
+    splits = running_sum(keyed.filter(F.col("gain") != 0), rising, "gain", "q").withColumn("q", F.round("q", 12))
     best = splits.orderBy(F.col("q").desc(), *order).first()
     nodes = parts.select("node", F.col("component").alias("first"))
     if best is None or best["q"] <= 0:

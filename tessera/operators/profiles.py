@@ -37,9 +37,22 @@ def business_profiles(counts: DataFrame, size: int = PROFILE) -> DataFrame:
 
 
 def user_profiles(reviews: DataFrame, profiles: DataFrame) -> DataFrame:
-    """(user_id, word): the profile words a user has ever used."""
-    words = reviews.filter(F.col("user_id").isNotNull()).select("user_id", F.explode(letter_words(F.col("text"))).alias("word")).distinct()
-    return materialized(words.join(profiles.select("word").distinct(), "word", "left_semi"), "users")
+    """(user_id, word): the profile words a user has ever used.
+
+    A text's repeated words and all words of no profile are gone before anything is shuffled by user.
+    """
+    words = reviews.filter(F.col("user_id").isNotNull()).select("user_id", F.explode(F.array_distinct(letter_words(F.col("text")))).alias("word"))
+    return materialized(words.join(profiles.select("word").distinct(), "word", "left_semi").distinct(), "users")
+
+
+def user_term_weights(reviews: DataFrame, profiles: DataFrame, size: int = 300) -> DataFrame:
+    """(user_id, word, weight): of each user the ``size`` profile words used most, with their share of all profile words used; ties by word."""
+    words = reviews.filter(F.col("user_id").isNotNull()).select("user_id", F.explode(letter_words(F.col("text"))).alias("word"))
+    counts = words.join(profiles.select("word").distinct(), "word", "left_semi").groupBy("user_id", "word").agg(F.count("*").alias("n"))
+    by_count = Window.partitionBy("user_id").orderBy(F.col("n").desc(), "word")
+    used = F.sum("n").over(Window.partitionBy("user_id"))
+    ranked = counts.withColumns({"rank": F.row_number().over(by_count), "weight": F.round(F.col("n") / used, 9)})
+    return ranked.filter(F.col("rank") <= size).select("user_id", "word", "weight")
 
 
 def cosine_scores(pairs: DataFrame, users: DataFrame, profiles: DataFrame, size: int = PROFILE, least: float = 0.01) -> DataFrame:

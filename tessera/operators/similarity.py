@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import number_of
+from tessera.operators.common_pairs import in_blocks, meeting
 from tessera.session import materialized
 
 PRIME = 4294967311  # the first prime above 2^32
@@ -41,9 +42,9 @@ def jaccard_pairs(rows: DataFrame, key: str, item: str, threshold: float) -> Dat
     held = classed.groupBy(key, "cls").agg(F.count("*").alias("k")).withColumn("before", F.coalesce(F.sum("k").over(rarer), F.lit(0))).join(sizes, key)
     reached = held.filter(F.col("before") < F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).select(key, "cls", "size")
     prefix = classed.filter(F.col("df") > 1).join(reached, [key, "cls"]).select(key, item, "size")
-    a, b = prefix.alias("a"), prefix.alias("b")
+    cells = in_blocks(prefix, item, key)
     close = F.least("a.size", "b.size") >= F.greatest("a.size", "b.size") * threshold - 1e-9
-    pairs = a.join(b, (F.col(f"a.{item}") == F.col(f"b.{item}")) & (F.col(f"a.{key}") < F.col(f"b.{key}")) & close)
+    pairs = cells.alias("a").join(cells.alias("b"), meeting(item, key) & close)
     candidates = pairs.select(F.col(f"a.{key}").alias("key_a"), F.col(f"b.{key}").alias("key_b")).distinct()
     return overlaps(candidates, rows, key, item).filter(F.col("similarity") >= threshold)
 
@@ -88,10 +89,9 @@ def lsh_candidates(signatures: DataFrame, key: str, bands: int, width: int, sets
         signatures = signatures.join(sets.filter(F.col(key) == F.col("head")).select(key), key)
         copies = sets.filter(F.col(key) != F.col("head")).select(F.col("head").alias("key_a"), F.col(key).alias("key_b"))
     band = F.array(*[F.struct(F.lit(b).alias("band"), F.array(*[F.col(f"h{i}") for i in range(b * width, (b + 1) * width)]).alias("value")) for b in range(bands)])
-    keys = signatures.select(F.col(key).alias("key"), F.explode(band).alias("b")).select("key", "b.band", "b.value")
-    x, y = keys.alias("x"), keys.alias("y")
-    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.key") < F.col("y.key")))
-    found = pairs.select(F.col("x.key").alias("key_a"), F.col("y.key").alias("key_b")).distinct()
+    cells = in_blocks(signatures.select(F.col(key).alias("key"), F.explode(band).alias("bucket")), "bucket", "key")
+    pairs = cells.alias("a").join(cells.alias("b"), meeting("bucket", "key"))
+    found = pairs.select(F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b")).distinct()
     return found if copies is None else found.unionByName(copies)
 
 

@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import bytes_of, linear_hash, trailing_zeros
+from tessera.operators.similarity import hash_constants
 from tessera.session import materialized
 
 BITS = 8000
-# Fixed values: (a, b, modulus) of the two hashes of the membership filter.
-BLOOM_HASHES = ((693, 4838, 5801), (518, 5404, 10007))
+# (a, b, modulus) of the two hashes of the membership filter: constants by rule, the modulus the first prime from 2^31 on.
+BLOOM_HASHES = tuple((a, b, 2147483659) for a, b in hash_constants(2, seed=11))
 # Fixed values: (a, b, modulus) of the 60 hashes of the distinct counter.
 COUNT_HASHES = (
     (-5784, 4242, 475528612), (-7445, -8117, 847707908), (5345, -3322, 53081982), (-9547, 1981, 491735196), (-925, -4122, 893730636),
@@ -37,9 +38,13 @@ def bloom_positions(text: Column, hashes: Sequence[tuple[int, int, int]] = BLOOM
 
 
 def bloom_filter(values: DataFrame, column: str) -> DataFrame:
-    """The filter of a column as one row ``bits``, an array of the positions set (at most ``BITS``); '' and null set none."""
+    """The filter of a column as one row ``bits``, an array of the positions set; '' and null set none.
+
+    Positions are made distinct before they are collected: every task sends at most ``BITS``.
+    """
     given = values.select(column).filter(F.col(column) != "").distinct()
-    return given.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(bloom_positions(F.col(column)))))).alias("bits"))
+    positions = given.select(F.explode(bloom_positions(F.col(column))).alias("bit")).distinct()
+    return positions.agg(F.array_sort(F.collect_list("bit")).alias("bits"))
 
 
 def might_contain(probes: DataFrame, column: str, bits: DataFrame) -> DataFrame:

@@ -27,6 +27,22 @@ def _minhash(n: int) -> str:
     return ", ".join(f"min(({x} * {a} + {b}) % {PRIME}) AS h{i}" for i, (a, b) in enumerate(hash_constants(n)))
 
 
+def _banded(key: str, bands: int) -> str:
+    """c: the pairs of keys (k1 < k2) that agree in a band of two hashes, each hash over the values of the other column."""
+    other = "u" if key == "b" else "b"
+    values = ", ".join(f"[h{2 * i}, h{2 * i + 1}]" for i in range(bands))
+    return f"""g AS (SELECT {key} AS k, {_minhash(2 * bands).replace("md5(u)", f"md5({other})")} FROM p GROUP BY {key}),
+h AS (SELECT k, unnest(range({bands})) AS i, unnest([{values}]) AS v FROM g),
+c AS (SELECT DISTINCT x.k AS k1, y.k AS k2 FROM h x JOIN h y ON x.i = y.i AND x.v = y.v AND x.k < y.k)"""
+
+
+def _all_sets(support: int) -> str:
+    return f"""{P}, one AS (SELECT u, b FROM p QUALIFY count(*) OVER (PARTITION BY b) >= {support}),
+f AS (SELECT [b] AS items, u FROM one
+  UNION ALL SELECT list_append(items, b), f.u FROM f JOIN one ON one.u = f.u AND one.b > items[-1] QUALIFY count(*) OVER (PARTITION BY list_append(items, b)) >= {support}),
+sets AS (SELECT items, count(*) AS support FROM f GROUP BY items)"""
+
+
 def _pair_sets(rows: str, support: int) -> str:
     return f"""WITH {P}, m AS ({rows}) SELECT x.i || ',' || y.i AS items, count(*) AS support
 FROM m x JOIN m y ON x.k = y.k AND x.i < y.i GROUP BY x.i, y.i HAVING count(*) >= {support}"""
@@ -102,6 +118,13 @@ a AS (SELECT id, f, label, cluster FROM v, c QUALIFY row_number() OVER (PARTITIO
 s AS (SELECT cluster, dim - 1 AS dim, count(*) AS n, sum(x) AS s, sum(x * x) AS q FROM (SELECT cluster, unnest(f) AS x, generate_subscripts(f, 1) AS dim FROM a) GROUP BY ALL)"""
 POSTS = """t AS (SELECT post_id, hashtags FROM tag_stream WHERE post_id IS NOT NULL AND len(hashtags) > 0 QUALIFY row_number() OVER (PARTITION BY post_id ORDER BY arrived_at, chunk_no) = 1)"""
 
+def _round(i: int) -> str:
+    """a1, a2, ...: the assignment to the means of the assignment before."""
+    before = f"a{i}" if i else "a"
+    return f""", m{i + 1} AS (SELECT cluster, list(mean ORDER BY dim) AS c FROM (SELECT cluster, dim, avg(x) AS mean FROM (SELECT cluster, unnest(f) AS x, generate_subscripts(f, 1) AS dim FROM {before}) GROUP BY ALL) GROUP BY cluster),
+a{i + 1} AS (SELECT id, f, m{i + 1}.cluster FROM v, m{i + 1} QUALIFY row_number() OVER (PARTITION BY id ORDER BY list_distance(f, c), m{i + 1}.cluster) = 1)"""
+
+
 ORACLE = {
     "p6_found": f"{CATEGORY_NAMES} SELECT business_id, generate_subscripts(names, 1)::INT AS pos, unnest(names) AS category FROM n",
     "explore_counts": f"WITH {R} SELECT count(*) AS reviews, count(*) FILTER (substr(review_date, 1, 4) = '{q.YEAR}') AS in_year, count(DISTINCT user_id) AS users FROM r",
@@ -119,15 +142,21 @@ AND business_id IN (SELECT business_id FROM b WHERE upper(trim(state, ' ')) = '{
 g AS (SELECT x.a, x.b, y.b AS c FROM f x JOIN f y ON x.a = y.a AND x.b < y.b JOIN f z ON z.a = x.b AND z.b = y.b)
 SELECT g.a || ',' || g.b || ',' || g.c AS items, count(*) AS support FROM g JOIN p x ON x.b = g.a JOIN p y ON y.b = g.b AND y.u = x.u JOIN p z ON z.b = g.c AND z.u = x.u
 GROUP BY g.a, g.b, g.c HAVING count(*) >= 3""",
+    "frequent_items_all": f"WITH RECURSIVE {_all_sets(q.SUPPORT)} SELECT len(items)::INT AS size, count(*) AS sets, max(support) AS most FROM sets GROUP BY len(items)",
+    "son_itemsets": f"WITH RECURSIVE {_all_sets(q.SUPPORT)} SELECT array_to_string(items, ',') AS items, support FROM sets",
+    "itemset_lines": f"""WITH RECURSIVE {_all_sets(q.SUPPORT)} SELECT len(items)::INT AS size,
+  string_agg('(' || chr(39) || array_to_string(items, chr(39) || ', ' || chr(39)) || chr(39) || ')', ',' ORDER BY items) AS line FROM sets WHERE len(items) IN (2, 3) GROUP BY len(items)""",
     "frequent_items_swapped": _pair_sets("SELECT b AS k, u AS i FROM p", q.SUPPORT),
     "frequent_items_min_basket": _pair_sets(f"SELECT u AS k, b AS i FROM p WHERE u IN (SELECT u FROM p GROUP BY u HAVING count(*) > {q.MIN_BASKET})", q.SUPPORT),
     "jaccard_pairs": f"""WITH {P}, n AS (SELECT b, count(*) AS n FROM p GROUP BY b),
 s AS (SELECT x.b AS b1, y.b AS b2, count(*) AS k FROM p x JOIN p y ON x.u = y.u AND x.b < y.b GROUP BY ALL)
 SELECT b1, b2, round(k / (na.n + nb.n - k), 9) AS sim FROM s JOIN n na ON na.b = b1 JOIN n nb ON nb.b = b2 WHERE k / (na.n + nb.n - k) >= {q.JACCARD}""",
     "minhash_signatures": f"WITH {P} SELECT b AS business_id, {_minhash(4)} FROM p GROUP BY b",
-    "lsh_candidates": f"""WITH {P}, g AS (SELECT b, {_minhash(4)} FROM p GROUP BY b), h AS (SELECT *, min(b) OVER (PARTITION BY h0, h1, h2, h3) AS head FROM g)
-SELECT DISTINCT x.head AS key_a, y.head AS key_b FROM h x JOIN h y ON x.head < y.head AND ((x.h0 = y.h0 AND x.h1 = y.h1) OR (x.h2 = y.h2 AND x.h3 = y.h3))
-UNION SELECT head, b FROM h WHERE b <> head""",
+    "lsh_candidates": f"""WITH {P}, g AS (SELECT b, {_minhash(4)} FROM p GROUP BY b)
+SELECT x.b AS key_a, y.b AS key_b FROM g x JOIN g y ON x.b < y.b AND ((x.h0 = y.h0 AND x.h1 = y.h1) OR (x.h2 = y.h2 AND x.h3 = y.h3))""",
+    "lsh_pairs": f"""WITH {P}, n AS (SELECT b, count(*) AS n FROM p GROUP BY b), {_banded("b", q.BANDS)},
+s AS (SELECT k1 AS b1, k2 AS b2, count(*) AS k FROM c JOIN p x ON x.b = k1 JOIN p y ON y.b = k2 AND y.u = x.u GROUP BY ALL)
+SELECT b1, b2, round(k / (na.n + nb.n - k), 9) AS sim FROM s JOIN n na ON na.b = b1 JOIN n nb ON nb.b = b2 WHERE k / (na.n + nb.n - k) >= {q.LSH_JACCARD}""",
     "jaccard_pairs_w3": f"""WITH {P}, n AS (SELECT b, count(*) AS n FROM p GROUP BY b),
 s AS (SELECT x.b AS b1, y.b AS b2, count(*) AS k FROM p x JOIN p y ON x.u = y.u AND x.b < y.b GROUP BY ALL)
 SELECT b1, b2, round(k / (na.n + nb.n - k), 9) AS sim FROM s JOIN n na ON na.b = b1 JOIN n nb ON nb.b = b2 WHERE k / (na.n + nb.n - k) >= {q.W3_JACCARD}""",
@@ -139,11 +168,16 @@ SELECT b1, b2, round(k / (na.n + nb.n - k), 9) AS sim FROM s JOIN n na ON na.b =
     "doc_freq": f"WITH {WORDS} SELECT word, df FROM d",
     "tfidf_topk": f"WITH {PROFILES} SELECT business_id, word, weight FROM best",
     "binary_user_profile": f"WITH {USERS} SELECT user_id, word FROM up",
+    "user_term_weights": f"""WITH {PROFILES}, uw AS (SELECT user_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM r WHERE user_id IS NOT NULL),
+m AS (SELECT user_id, word, count(*) AS n FROM uw WHERE word IN (SELECT word FROM best) GROUP BY ALL)
+SELECT user_id, word, round(n / sum(n) OVER (PARTITION BY user_id), 9) AS weight FROM m QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, word) <= 300""",
     "cosine_score": f"""WITH {USERS}, {TESTS}, c AS (SELECT v.user_id, v.business_id, count(*) AS common FROM v JOIN best USING (business_id) JOIN up ON up.user_id = v.user_id AND up.word = best.word GROUP BY ALL),
 n AS (SELECT user_id, count(*) AS used FROM up GROUP BY user_id), s AS (SELECT user_id, business_id, round(common / sqrt(200) / sqrt(used), 6) AS score FROM c JOIN n USING (user_id))
 SELECT * FROM s WHERE score >= 0.01""",
     "item_pearson": f"WITH {ITEMS} SELECT b1, b2, sim FROM im",
     "user_pearson": f"WITH {NEAR_USERS} SELECT u1, u2, sim FROM um",
+    "user_pearson_lsh": f"""WITH {NEAR_USERS}, p AS (SELECT DISTINCT user_id AS u, business_id AS b FROM r WHERE user_id IS NOT NULL AND business_id IS NOT NULL),
+{_banded("u", q.USER_HASHES // 2)} SELECT u1, u2, sim FROM um JOIN c ON k1 = u1 AND k2 = u2""",
     "predict_item": f"""WITH {ITEMS}, {CELLS}, {TESTS}, w AS (SELECT b1 AS b, b2 AS o, sim FROM im UNION ALL SELECT b2, b1, sim FROM im),
 near AS (SELECT v.user_id AS u, v.business_id AS b, sim, s FROM v JOIN w ON w.b = v.business_id JOIN cells c ON c.u = v.user_id AND c.b = w.o
   QUALIFY row_number() OVER (PARTITION BY v.user_id, v.business_id ORDER BY sim DESC, w.o) <= 5),
@@ -179,6 +213,15 @@ SELECT tag, n FROM n QUALIFY dense_rank() OVER (ORDER BY n DESC) <= 3""",
     "cluster_sizes": f"WITH {VECTORS} SELECT cluster::INT AS label, count(*) AS points FROM a GROUP BY cluster",
     "kmeans_step": f"WITH {VECTORS} SELECT cluster::INT AS cluster, dim::INT AS dim, round(s / n, 12) AS centre FROM s",
     "cluster_summaries": f"WITH {VECTORS} SELECT cluster::INT AS cluster, dim::INT AS dim, n, round(s, 6) AS s, round(q, 6) AS q FROM s",
+    "kmeans_rounds": f"WITH {VECTORS}{''.join(_round(i) for i in range(3))} SELECT id, cluster::INT AS cluster FROM a3",
+    "json_lines_reviews": """SELECT user_id, business_id, count(*) AS reviews, count(*) FILTER (stars <= 5) AS rated, sum(length(text))::BIGINT AS letters
+FROM train_review GROUP BY user_id, business_id""",
+    "json_lines_businesses": "SELECT business_id, categories, state, city FROM business",
+    "csv_pairs": f"WITH {P} SELECT u AS user_id, b AS business_id FROM p",
+    "text_stop_words": "SELECT DISTINCT coalesce(string_split_regex(trim(word, ' '), ' +')[1], '') AS word FROM stop_words UNION SELECT ''",
+    "text_points": "SELECT vec_id AS id, len(embedding)::INT AS dims, round(list_sum(embedding::DOUBLE[]), 9) AS total FROM embeddings",
+    "json_label_map": "SELECT vec_id::VARCHAR AS id, label::INT AS label FROM embeddings",
+    "json_item_model": f"WITH {ITEMS} SELECT b1, b2, sim FROM im",
     "mahalanobis_assign": f"""WITH {VECTORS}, g AS (SELECT cluster, list(s / n ORDER BY dim) AS mu, list(greatest(sqrt(greatest(q / n - pow(s / n, 2), 0)), 1e-9) ORDER BY dim) AS sd, count(*) AS dims FROM s GROUP BY cluster),
 d AS (SELECT id, cluster, sqrt(list_sum(list_transform(range(1, len(f) + 1), lambda i: pow((f[i] - mu[i]) / sd[i], 2)))) AS d, dims FROM v, g),
 o AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, cluster) = 1)

@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 from tessera.operators import cluster, explore, graph, itemsets, profiles, recommend, similarity, sketch, split_values
 from tessera.operators.reviews import first_loaded
 from tessera.plans.tables import pairs, reviews, table
-from tessera.session import materialized
+from tessera.session import materialized, scratch_path
+from tessera.sources import readers, writers
 from tessera.streaming import reservoir, windows
 
 YEAR, TOP, OVER, STATE = 2019, 20, 30, "QA"
 SUPPORT, MIN_BASKET = 5, 4
 JACCARD, LSH_JACCARD, BANDS, WIDTH = 0.1, 0.3, 25, 2
 W3_JACCARD, W3_HASHES = 0.05, 50  # the reference's own setting, with bands of one hash
+USER_HASHES = 30
 THRESHOLD = 7  # common businesses that make an edge
 CLUSTERS, BFR_CLUSTERS, CHUNKS = 10, 5, 2
 
@@ -52,6 +54,14 @@ def partition_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explore.partition_sizes(table(spark, sf_dir, "train_review"))
 
 
+def partition_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explore.partition_count(table(spark, sf_dir, "train_review"))
+
+
+def partition_sizes_in_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explore.partition_sizes(table(spark, sf_dir, "train_review").select("business_id"), 15)
+
+
 def partition_sizes_by_business(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explore.partition_sizes(table(spark, sf_dir, "train_review").select("business_id"), 27, "business_id")
 
@@ -93,6 +103,11 @@ def frequent_items_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("size").agg(F.count("*").alias("sets"), F.max("support").alias("most"))
 
 
+def son_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent itemsets of all sizes by two passes, candidates of parts first."""
+    return _sets(itemsets.son(_by_user(spark, sf_dir), SUPPORT)[1])
+
+
 def _similar(df: DataFrame) -> DataFrame:
     return df.select(F.col("key_a").alias("b1"), F.col("key_b").alias("b2"), F.round("similarity", 9).alias("sim"))
 
@@ -153,6 +168,10 @@ def _test_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.filter((F.col("user_id") != "") & (F.col("business_id") != "")).distinct()
 
 
+def user_term_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.user_term_weights(reviews(spark, sf_dir, "review_id", "user_id", "text"), tfidf_topk(spark, sf_dir))
+
+
 def cosine_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = materialized(tfidf_topk(spark, sf_dir), "profiles")
     users = profiles.user_profiles(reviews(spark, sf_dir, "review_id", "user_id", "text"), best)
@@ -171,6 +190,13 @@ def user_pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recommend.user_model(_ratings(spark, sf_dir))
 
 
+def user_pearson_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User model among MinHash candidates, with ``USER_HASHES`` hashes in bands of two."""
+    rows = materialized(pairs(spark, sf_dir), "rows")
+    signed = similarity.minhash_signatures(rows, "user_id", "business_id", similarity.hash_constants(USER_HASHES))
+    return recommend.user_model(_ratings(spark, sf_dir), candidates=similarity.lsh_candidates(signed, "user_id", USER_HASHES // 2, 2))
+
+
 def predict_item(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recommend.predict_by_items(_test_pairs(spark, sf_dir), _ratings(spark, sf_dir), item_pearson(spark, sf_dir))
 
@@ -234,6 +260,71 @@ def reservoir_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reservoir.smallest_hashes(_posts(spark, sf_dir).select("post_id"), "post_id", 100, seed=1)
 
 
+def reservoir_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(n, tag, count) after each micro-batch of the stream of posts, as the pieces arrive."""
+    posts = table(spark, sf_dir, "tag_stream").select("hashtags", "posted_at")
+    folder, out, state = (scratch_path(spark, x) for x in ("posts", "trending", "state"))
+    posts.write.parquet(folder)
+    stream = reservoir.trending_stream(readers.file_stream(spark, folder, posts.schema, per_trigger=64), capacity=100, seed=1)
+    stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema("n long, tag string, count long").parquet(out)
+
+
+def json_lines_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews written as JSON lines and read again."""
+    path = scratch_path(spark, "reviews")
+    writers.json_lines(table(spark, sf_dir, "train_review").select("user_id", "business_id", "stars", F.col("review_date").alias("date"), "text"), path)
+    return readers.reviews(spark, path).groupBy("user_id", "business_id").agg(F.count("*").alias("reviews"), F.count_if(F.col("stars") <= 5).alias("rated"), F.sum(F.length("text")).alias("letters"))
+
+
+def json_lines_businesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "businesses")
+    writers.json_lines(table(spark, sf_dir, "business").select("business_id", "categories", "state", "city"), path)
+    return readers.businesses(spark, path)
+
+
+def csv_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct pairs of users and businesses written as CSV with a header and read again."""
+    path = scratch_path(spark, "pairs")
+    writers.csv_parts(pairs(spark, sf_dir), path)
+    return readers.csv_rows(spark, path)
+
+
+def text_stop_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "words")
+    table(spark, sf_dir, "stop_words").select(F.coalesce("word", F.lit("")).alias("word")).write.text(path)
+    return readers.stop_words(spark, path)
+
+
+def text_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points written as lines of text and read again: (id, dimensions, total)."""
+    path = scratch_path(spark, "points")
+    _vectors(spark, sf_dir).select(F.concat_ws(",", F.col("id").cast("string"), F.transform("features", lambda x: x.cast("string"))).alias("line")).write.text(path)
+    total = F.aggregate("features", F.lit(0.0), lambda a, x: a + x)
+    return readers.points(spark, path).select(F.col("id").cast("long").alias("id"), F.size("features").alias("dims"), F.round(total, 9).alias("total"))
+
+
+def json_label_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels written as JSON objects id -> label, a line per label, and read again."""
+    path = scratch_path(spark, "labels")
+    labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("label").cast("int").alias("label"))
+    labels.select(F.to_json(F.create_map("id", "label")).alias("line")).write.text(path)
+    return readers.label_map(spark, path)
+
+
+def json_item_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The item model written as JSON lines and read again."""
+    path = scratch_path(spark, "model")
+    writers.json_lines(item_pearson(spark, sf_dir), path)
+    return readers.model(spark, path)
+
+
+def itemset_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the report of frequent pairs and triples."""
+    rows = materialized(_by_user(spark, sf_dir), "baskets")
+    return writers.itemset_lines(itemsets.frequent_itemsets(rows, SUPPORT, 2).select("items").unionByName(itemsets.frequent_itemsets(rows, SUPPORT, 3).select("items")))
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("features"))
 
@@ -266,6 +357,13 @@ def kmeans_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.assign(points, cluster.kmeans(points, CLUSTERS)).select("id", "cluster")
 
 
+def kmeans_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rounds of k-means from given centres, and the assignment to the last ones."""
+    points = _vectors(spark, sf_dir)
+    centres = cluster.kmeans(points, CLUSTERS, _first_vectors(spark, sf_dir), rounds=3, tolerance=0.0)
+    return cluster.assign(points, centres).select("id", "cluster")
+
+
 def mahalanobis_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _vectors(spark, sf_dir)
     held = cluster.summaries(cluster.assign(points, _first_vectors(spark, sf_dir)))
@@ -275,7 +373,7 @@ def mahalanobis_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _bfr(spark: SparkSession, sf_dir: str) -> cluster.Bfr:
     points = _vectors(spark, sf_dir)
-    return cluster.bfr([points.filter(F.col("id") % CHUNKS == i) for i in range(CHUNKS)], BFR_CLUSTERS)
+    return cluster.bfr((points.filter(F.col("id") % CHUNKS == i) for i in range(CHUNKS)), BFR_CLUSTERS)
 
 
 def bfr_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -299,11 +397,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        explore_counts, top_users, top_words, category_avg_stars, category_avg_eager, business_over_n, partition_sizes, partition_sizes_by_business,
-        state_user_business, frequent_items_k1, frequent_items_k2, frequent_items_k3, frequent_items_swapped, frequent_items_min_basket, frequent_items_all,
-        jaccard_pairs, minhash_signatures, lsh_candidates, lsh_pairs, jaccard_pairs_w3, lsh_pairs_w3, doc_freq, tfidf_topk, binary_user_profile, cosine_score,
-        item_pearson, user_pearson, predict_item, predict_user, cooccurrence_edges, connected_components, label_propagation, edge_betweenness,
-        girvan_newman, modularity, bloom_membership, fm_distinct, fm_sliding, trending_tags, reservoir_sample,
-        kmeans_assign, kmeans_step, cluster_sizes, cluster_summaries, kmeans_clusters, mahalanobis_assign, bfr_clusters, bfr_rounds, nmi, p6_found,
+        explore_counts, top_users, top_words, category_avg_stars, category_avg_eager, business_over_n, partition_count, partition_sizes, partition_sizes_by_business, partition_sizes_in_turn,
+        state_user_business, frequent_items_k1, frequent_items_k2, frequent_items_k3, frequent_items_swapped, frequent_items_min_basket, frequent_items_all, son_itemsets, itemset_lines,
+        jaccard_pairs, minhash_signatures, lsh_candidates, lsh_pairs, jaccard_pairs_w3, lsh_pairs_w3, doc_freq, tfidf_topk, binary_user_profile, user_term_weights, cosine_score,
+        item_pearson, user_pearson, user_pearson_lsh, predict_item, predict_user, cooccurrence_edges, connected_components, label_propagation, edge_betweenness,
+        girvan_newman, modularity, bloom_membership, fm_distinct, fm_sliding, trending_tags, reservoir_sample, reservoir_stream,
+        kmeans_assign, kmeans_step, cluster_sizes, cluster_summaries, kmeans_rounds, kmeans_clusters, mahalanobis_assign, bfr_clusters, bfr_rounds, nmi, p6_found,
+        json_lines_reviews, json_lines_businesses, csv_pairs, text_stop_words, text_points, json_label_map, json_item_model,
     )
 }

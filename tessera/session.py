@@ -29,14 +29,14 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
     Where it is unset (tests on one machine) a temporary folder is set; a session
-    with another master than ``local`` must bring the setting.
+    with another master than ``local`` or ``local[n]`` must bring the setting.
     """
     sc = spark.sparkContext
     if folder := sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None):
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(folder)
         return folder
-    if not sc.master.startswith("local"):
+    if sc.master != "local" and not sc.master.startswith("local["):  # local-cluster has executors of its own, too
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="tessera-")
     sc.setCheckpointDir("file://" + folder)
@@ -56,20 +56,31 @@ def materialized(df: DataFrame, name: str = "t") -> DataFrame:
     pruned on every later read. The folder is removed when the driver's Python ends.
     """
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"tessera-{name}-{uuid.uuid4().hex}")
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    _drop_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._tessera_path = path
+    return table
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """The path of a new table in the shared folder; it is removed when the driver's Python ends."""
+    path = os.path.join(shared_dir(spark), f"tessera-{name}-{uuid.uuid4().hex}")
+    atexit.register(_remove, spark, path)
+    return path
 
 
-def _drop_at_exit(spark: SparkSession, path: str) -> None:
-    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+def dropped(*tables: DataFrame) -> None:
+    """Remove tables of ``materialized`` that nothing reads any more, so that loops don't fill the disk."""
+    for t in tables:
+        if path := getattr(t, "_tessera_path", None):
+            _remove(t.sparkSession, path)
 
-    def drop() -> None:
-        try:
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(hadoop).delete(target, True)
-        except Exception:  # the JVM may have ended before
-            pass
 
-    atexit.register(drop)
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        sc = spark.sparkContext
+        target = sc._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the JVM may have ended before
+        pass

@@ -7,11 +7,13 @@ top lists); large results are written as part files by Spark.
 from __future__ import annotations
 
 import json
+import logging
+import time
 from collections.abc import Iterable
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -65,9 +67,36 @@ def betweenness_text(values: DataFrame, path: str) -> None:
 
 
 def flags_text(flagged: DataFrame, order: str, path: str) -> None:
-    """The column ``flag`` in the order of a column, blanks between."""
+    """The column ``flag`` in the order of a column, blanks between; the flags go to the file as they come."""
     rows = flagged.orderBy(order).select(F.col("flag").cast("string").alias("flag"))
-    Path(path).write_text(" ".join(r["flag"] for r in rows.toLocalIterator()), encoding="utf-8")
+    with open(path, "w", encoding="utf-8") as f:
+        for i, r in enumerate(rows.toLocalIterator()):
+            f.write(f" {r['flag']}" if i else r["flag"])
+
+
+def round_stats(rounds: DataFrame, path: str) -> None:
+    """The rounds of out-of-core clustering as CSV, a line per round; there are as many rounds as chunks."""
+    # Fixed value: the first line of the file.
+    header = "round_id,nof_cluster_discard,nof_point_discard,nof_cluster_compression,nof_point_compression,nof_point_retained"
+    names = ("round", "discard_clusters", "discard_points", "compressed_clusters", "compressed_points", "retained_points")
+    _lines([header, *(",".join(str(r[c]) for c in names) for r in rounds.orderBy("round").toLocalIterator())], path)
+
+
+def profile_lines(businesses: DataFrame, users: DataFrame, path: str) -> None:
+    """A file of two JSON lines: businesses -> words in order of their weight, users -> word weights.
+
+    ``businesses`` is (business_id, word, weight), ``users`` (user_id, word, weight). Each key's entry is made
+    in parallel; the entries go to the file as they come.
+    """
+    best = F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "word")))["word"]
+    of_business = businesses.groupBy(F.col("business_id").alias("k")).agg(F.to_json(best).alias("v"))
+    of_user = users.groupBy(F.col("user_id").alias("k")).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("word", "weight"))))).alias("v"))
+    with open(path, "w", encoding="utf-8") as f:
+        for table in (of_business, of_user):
+            f.write("{")
+            for i, r in enumerate(table.orderBy("k").toLocalIterator()):
+                f.write((", " if i else "") + json.dumps(r["k"], ensure_ascii=False) + ": " + r["v"])
+            f.write("}\n")
 
 
 def table(df: DataFrame, path: str) -> None:
@@ -78,3 +107,21 @@ def table(df: DataFrame, path: str) -> None:
 def _lines(lines: Iterable[str], path: str) -> None:
     with open(path, "w", encoding="utf-8") as f:
         f.writelines(line + "\n" for line in lines)
+
+
+class Diagnostics:
+    """Rows and seconds of steps: ``watched`` counts a step's rows while it runs, without a job of its own."""
+
+    def __init__(self) -> None:
+        self.began, self.steps = time.time(), {}
+
+    def watched(self, df: DataFrame, step: str) -> DataFrame:
+        self.steps[step] = Observation(step)
+        return df.observe(self.steps[step], F.count(F.lit(1)).alias("rows"))
+
+    def report(self) -> dict[str, Any]:
+        """The rows of each step that has run, and ``seconds`` since the start; also logged."""
+        out = {step: seen.get["rows"] for step, seen in self.steps.items()}
+        out["seconds"] = round(time.time() - self.began, 3)
+        logging.getLogger("tessera").info("%s", out)
+        return out

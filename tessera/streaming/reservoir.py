@@ -12,8 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-ASCII = re.compile("[A-Za-z]+")
+from tessera.functions.text import ASCII_WORD, ascii_word
+from tessera.streaming.sinks import appending
+
+ASCII = re.compile(ASCII_WORD)
 TOP = 3
+# Fixed value: the head line of a report.
+HEADLINE = "The number of tweets with tags from the beginning: "
 
 
 def trending(counts: dict[str, int]) -> list[tuple[str, int]]:
@@ -68,8 +73,9 @@ def trending_stream(posts: DataFrame, capacity: int = 100, seed: int = 0, each_p
 
     With ``each_post`` there is a report after every post that was kept or drawn for, numbered by ``n``.
 
-    A reservoir is one sequence, so its state has one key: at most ``capacity`` posts and a counter. Posts
-    of a micro-batch are taken in the order of ``posted_at``; batches of any size are read in pieces.
+    A reservoir is one sequence, so its state has one key: at most ``capacity`` posts and a counter. The posts
+    of a micro-batch are brought together, which the trigger bounds (``maxFilesPerTrigger``), and taken in
+    the order of ``posted_at``; posts of the same time are taken in the order of their tags.
     """
     rows = posts.select(F.lit(0).alias("key"), F.transform("hashtags", lambda h: h["text"]).alias("tags"), F.col("posted_at").cast("timestamp").alias("at")).filter(F.size("tags") > 0)
 
@@ -77,13 +83,14 @@ def trending_stream(posts: DataFrame, capacity: int = 100, seed: int = 0, each_p
         n, kept = state.get if state.exists else (0, [])
         reservoir = Reservoir(capacity, seed, n, [list(x) for x in kept])
         report = lambda: [(reservoir.n, t, c) for t, c in trending(reservoir.counts())]
-        for piece in pieces:
-            rows = []
-            for tags in piece.sort_values("at", kind="stable")["tags"]:
-                if reservoir.offer(list(tags)) and each_post:
-                    rows += report()
-            if rows:
-                yield pd.DataFrame(rows, columns=["n", "tag", "count"])
+        whole = pd.concat(list(pieces))  # Arrow pieces are no order; only the batch as a whole can be sorted
+        whole["tie"] = ["\0".join(t or "" for t in tags) for tags in whole["tags"]]
+        rows = []
+        for tags in whole.sort_values(["at", "tie"], kind="stable")["tags"]:
+            if reservoir.offer(list(tags)) and each_post:
+                rows += report()
+        if rows:
+            yield pd.DataFrame(rows, columns=["n", "tag", "count"])
         state.update((reservoir.n, reservoir.kept))
         if not each_post:
             yield pd.DataFrame(report(), columns=["n", "tag", "count"])
@@ -92,15 +99,17 @@ def trending_stream(posts: DataFrame, capacity: int = 100, seed: int = 0, each_p
 
 
 def append_blocks(reports: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Appends a block of text per report: how many posts with tags there were, and the trending tags with their counts."""
-    open(path, "w", encoding="utf-8").close()
+    """Appends a block of text per report: how many posts with tags there were, and the trending tags with their counts.
+
+    A restart from the checkpoint goes on with the file; a batch that is tried again replaces its first try.
+    """
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
         last = None
-        with open(path, "a", encoding="utf-8") as f:
+        with appending(path, number) as f:
             for r in batch.orderBy("n", F.col("count").desc(), "tag").toLocalIterator():
                 if r["n"] != last:
-                    f.write(("" if last is None else "\n") + f"The number of tweets with tags from the beginning: {r['n']}\n")
+                    f.write(("" if last is None else "\n") + f"{HEADLINE}{r['n']}\n")
                     last = r["n"]
                 f.write(f"{r['tag']}: {r['count']}\n")
             f.write("\n" if last is not None else "")
@@ -110,7 +119,7 @@ def append_blocks(reports: DataFrame, path: str, checkpoint: str, trigger: dict
 
 def trending_tags(posts: DataFrame) -> DataFrame:
     """(tag, n): the ASCII tags of a table of posts with one of the 3 largest distinct counts."""
-    tags = posts.select(F.explode("hashtags").alias("h")).select(F.col("h.text").alias("tag")).filter(F.col("tag").rlike("^[A-Za-z]+$"))
+    tags = posts.select(F.explode("hashtags").alias("h")).select(F.col("h.text").alias("tag")).filter(ascii_word(F.col("tag")))
     counts = tags.groupBy("tag").agg(F.count("*").alias("n"))
     best = F.broadcast(counts.select("n").distinct().orderBy(F.col("n").desc()).limit(TOP))
     return counts.join(best, "n", "left_semi").select("tag", "n")

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tessera.operators.sketch import COUNT_HASHES, fm_distinct, fm_estimate, fm_rank_columns
+from tessera.streaming.sinks import appending
+
+HEADER = "Time,Ground Truth,Estimation\n"  # Fixed value: the first line of the file
 
 
 def sliding_distinct(events: DataFrame, time: str, column: str, length: str = "30 seconds", slide: str = "10 seconds", late: str = "1 minute") -> DataFrame:
@@ -30,14 +33,14 @@ def sliding_distinct(events: DataFrame, time: str, column: str, length: str = "3
 
 
 def append_csv(windows: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Appends ``time,exact,estimate`` rows to a file, its header first; a micro-batch without windows writes nothing."""
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("Time,Ground Truth,Estimation\n")
+    """Appends ``time,exact,estimate`` rows to a file, its header first; a micro-batch without windows adds nothing.
+
+    A restart from the checkpoint goes on with the file; a batch that is tried again replaces its first try.
+    """
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
         rows = batch.orderBy("window").select(F.date_format(F.col("window.end"), "yyyy-MM-dd HH:mm:ss").alias("t"), "distinct", "estimate").collect()
-        if rows:
-            with open(path, "a", encoding="utf-8") as f:
-                f.writelines(f"{r['t']},{r['distinct']},{r['estimate']}\n" for r in rows)
+        with appending(path, number, HEADER) as f:
+            f.writelines(f"{r['t']},{r['distinct']},{r['estimate']}\n" for r in rows)
 
     return windows.writeStream.foreachBatch(write).option("checkpointLocation", os.fspath(checkpoint)).outputMode("append").trigger(**(trigger or {"processingTime": "5 seconds"})).start()

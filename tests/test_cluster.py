@@ -47,3 +47,37 @@ def test_nmi_of_independent_labels(spark):
 def test_no_points(spark):
     none = spark.createDataFrame([], "id int, features array<double>")
     assert cluster.assign(none, cluster.kmeans(none, 3)).collect() == []
+
+
+def test_kmeans_equals_plain_rounds(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 5)) + 3 * rng.integers(0, 4, size=(400, 1))
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, features array<double>").repartition(7)
+    centres = x[:6].copy()
+    found = cluster.kmeans(points, 6, centres, rounds=5, tolerance=0.0)
+    for _ in range(5):
+        near = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        centres = np.array([x[near == c].mean(axis=0) for c in range(6)])
+    assert np.allclose(found, centres)
+
+
+def test_bfr_over_many_chunks(spark):
+    """Six chunks of overlapping sizes: 8 groups, a small one that only comes later, and noise far from all."""
+    rng = np.random.default_rng(12)
+    where = rng.uniform(-400, 400, size=(9, 4))
+    rows = [(f"p{c}_{i}", (where[c] + rng.normal(size=4) * (1 + c % 3)).tolist(), i % 6 if c < 8 else 3 + i % 3) for c in range(9) for i in range(150 if c < 8 else 60)]
+    rows += [(f"o{i}", (rng.choice([-1, 1], size=4) * rng.uniform(5000, 90000, size=4)).tolist(), i % 6) for i in range(12)]
+    points = spark.createDataFrame(rows, "id string, features array<double>, chunk int")
+    out = cluster.bfr((points.filter(F.col("chunk") == i) for i in range(6)), 8)
+    sizes = [sum(r[2] <= i for r in rows) for i in range(6)]
+    assert [r[2] + r[4] + r[5] for r in out.rounds] == sizes and [r[0] for r in out.rounds] == [1, 2, 3, 4, 5, 6]
+    labels = {r["id"]: r["cluster"] for r in out.points.collect()}
+    assert len(labels) == out.points.count() == len(rows)
+    assert all(labels[f"o{i}"] == -1 for i in range(12))
+    known = spark.createDataFrame([(i.split("_")[0], c) for i, c in labels.items() if i[0] == "p" and not i.startswith("p8") and c >= 0], "u string, v int")
+    assert known.count() >= 0.7 * 1200 and cluster.nmi(known, "u", "v").first()["nmi"] > 0.9
+
+
+def test_bfr_without_points(spark):
+    none = spark.createDataFrame([], "id int, features array<double>")
+    assert cluster.bfr([none], 3).points.collect() == [] and cluster.bfr([none], 3).rounds == []

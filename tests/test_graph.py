@@ -1,6 +1,8 @@
 import math
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import graph
 
@@ -59,3 +61,72 @@ def test_betweenness_of_a_long_chain_has_no_cap(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(20)], "src long, dst long")
     values = {(r["src"], r["dst"]): r["value"] for r in graph.edge_betweenness(chain).collect()}
     assert values == {(i, i + 1): (i + 1) * (20 - i) for i in range(20)}
+
+
+def brute_force_communities(edges):
+    """Edges removed one by one over the whole graph, betweenness from all shortest paths written out, and the partition of largest modularity."""
+    nodes, m = sorted({v for e in edges for v in e}), len(edges)
+    left = {tuple(sorted(e)) for e in edges}
+    degree = {v: sum(v in e for e in edges) for v in nodes}
+
+    def near(v):
+        return [b if a == v else a for a, b in left if v in (a, b)]
+
+    def paths(s):
+        level, found = {s: [[s]]}, {s: [[s]]}
+        while level:
+            longer = {}
+            for v, ps in level.items():
+                for w in near(v):
+                    if w not in found:
+                        longer.setdefault(w, []).extend([*p, w] for p in ps)
+            found.update(longer)
+            level = longer
+        return found
+
+    def betweenness():
+        value = dict.fromkeys(left, 0.0)
+        for s in nodes:
+            for t, ps in paths(s).items():
+                for p in ps:
+                    for a, b in zip(p, p[1:]):
+                        value[min(a, b), max(a, b)] += 0.5 / len(ps)
+        return {e: round(x, 9) for e, x in value.items()}
+
+    def partition():
+        return {frozenset(paths(v)) for v in nodes}
+
+    def q(parts):
+        return round(sum(sum(a in c and b in c for a, b in edges) / m - (sum(degree[v] for v in c) / (2 * m)) ** 2 for c in parts), 12)
+
+    best = partition()
+    while left:
+        value = betweenness()
+        left.remove(min(value, key=lambda e: (-value[e], e)))
+        if q(partition()) > q(best):
+            best = partition()
+    return best
+
+
+@pytest.mark.parametrize("steps", [1e9, 0])
+def test_communities_of_random_graphs_equal_brute_force(spark, steps):
+    rng = random.Random(6)
+    size, groups = (12, 4) if steps else (4, 3)
+    edges = {(a, b) for a in range(size * groups) for b in range(a) if rng.random() < ((0.45 if steps else 0.8) if a // size == b // size else 0.02)}
+    edges = sorted({(f"n{b:02}", f"n{a:02}") for a, b in edges} | {("x0", "x1"), ("x1", "x2")})
+    labels = graph.girvan_newman(spark.createDataFrame(edges, "src string, dst string"), steps)
+    parts = {}
+    for r in labels.collect():
+        parts.setdefault(r["component"], set()).add(r["node"])
+    assert set(map(frozenset, parts.values())) == brute_force_communities(edges) and len(parts) >= groups
+
+
+def test_sums_over_ranges(spark):
+    rng = random.Random(1)
+    rows = [(i, rng.randrange(50), float(rng.randrange(9))) for i in range(500)]
+    found = graph.running_sum(spark.createDataFrame(rows, "i int, k int, v double").repartition(5), [F.col("k"), -F.col("i")], "v", "s")
+    total, expected = 0.0, {}
+    for i, k, v in sorted(rows, key=lambda r: (r[1], -r[0])):
+        total += v
+        expected[i] = total
+    assert {r["i"]: r["s"] for r in found.collect()} == expected and found.columns == ["i", "k", "v", "s"]

@@ -9,7 +9,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import functions as F
 
 from tessera.operators import itemsets, recommend, similarity
-from tessera.operators.common_pairs import pairs_in_common
+from tessera.operators.common_pairs import in_blocks, pairs_in_common
 
 
 def baskets_with_a_hot_one(seed):
@@ -106,3 +106,28 @@ def test_itemsets_of_more_than_ten_items(spark):
     rows = spark.createDataFrame([(b, i) for b in range(3) for i in range(11)] + [(9, 0), (9, 77)], "basket int, item int")
     found = itemsets.all_frequent_itemsets(rows, 3).groupBy("size").agg(F.count("*").alias("sets"), F.max("support").alias("most")).collect()
     assert {r["size"]: (r["sets"], r["most"]) for r in found} == {k: (math.comb(11, k), 4 if k == 1 else 3) for k in range(1, 12)}
+
+
+@pytest.mark.parametrize("block", [1, 3, 7, 10_000])
+@pytest.mark.parametrize("least", [1, 2, 4])
+def test_pairs_in_blocks(spark, least, block):
+    rows = sorted({(g, k) for g, n in ((0, 25), (1, 24), (2, 23), (3, 9), (4, 2), (5, 1)) for k in range(n)})
+    count = Counter(p for g in range(6) for p in combinations([k for h, k in rows if h == g], 2))
+    out = pairs_in_common(spark.createDataFrame(rows, "g int, k int"), "g", "k", least, block=block).collect()
+    assert len(out) == len({(r["key_a"], r["key_b"]) for r in out})
+    assert {(r["key_a"], r["key_b"]): r["n"] for r in out} == {p: n for p, n in count.items() if n >= least}
+
+
+def test_no_key_of_the_join_has_more_than_a_block(spark):
+    rows = spark.range(5000).select((F.col("id") % 2).alias("g"), F.col("id").alias("k"))
+    cells = in_blocks(rows, "g", "k", 100).groupBy("g", "__lo", "__hi").count()
+    assert cells.agg(F.max("count")).first()[0] < 400 and cells.count() == 2 * 25 * 26 / 2
+
+
+def test_two_passes_find_the_frequent_sets(spark):
+    rows = itemsets.baskets(spark.createDataFrame(baskets_with_a_hot_one(7), "basket int, item int"), "basket", "item")
+    candidates, found = itemsets.son(rows, 6, 2)
+    expected = {(tuple(r["items"]), r["support"]) for r in itemsets.all_frequent_itemsets(rows, 6).collect()}
+    assert {(tuple(r["items"]), r["support"]) for r in found.collect()} == expected
+    assert {s for s, _ in expected} < {tuple(r["items"]) for r in candidates.collect()}
+    assert [x.count() for x in itemsets.son(rows.limit(0), 6)] == [0, 0]

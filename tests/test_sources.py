@@ -53,3 +53,34 @@ def test_points_keep_all_features(spark, tmp_path):
     (tmp_path / "wide.txt").write_text("p," + ",".join(map(str, range(10_001))) + "\nq,1\nr\n")
     found = {r["id"]: r["features"] for r in readers.points(spark, str(tmp_path / "wide.txt")).collect()}
     assert found == {"p": [float(i) for i in range(10_001)], "q": [1.0], "r": []}
+
+
+def test_profiles_come_back_from_two_lines(spark, tmp_path):
+    business = spark.createDataFrame([("b1", "soup", 0.5), ("b1", "tea", 0.9), ('b"2', "pie", 1.0)], "business_id string, word string, weight double")
+    user = spark.createDataFrame([("u", "soup", 0.25), ("u", "pie", 0.75), ("ü", "tea", 1.0)], "user_id string, word string, weight double")
+    path = str(tmp_path / "p.json")
+    writers.profile_lines(business, user, path)
+    first, second = open(path, encoding="utf-8").read().splitlines()
+    assert json.loads(first) == {"b1": ["tea", "soup"], 'b"2': ["pie"]} and json.loads(second) == {"u": {"soup": 0.25, "pie": 0.75}, "ü": {"tea": 1.0}}
+    of_business, of_user = readers.profile_lines(spark, path)
+    assert sorted(map(tuple, of_business.collect())) == sorted((b, w) for b, w, _ in business.collect())
+    assert sorted(map(tuple, of_user.collect())) == sorted(map(tuple, user.collect()))
+
+
+def test_rounds_as_csv(spark, tmp_path):
+    rounds = spark.createDataFrame([(2, 3, 200, 1, 4, 0), (1, 3, 90, 0, 0, 1)], "round int, discard_clusters int, discard_points long, compressed_clusters int, compressed_points long, retained_points long")
+    writers.round_stats(rounds, str(tmp_path / "r.csv"))
+    assert (tmp_path / "r.csv").read_text().splitlines()[1:] == ["1,3,90,0,0,1", "2,3,200,1,4,0"]
+
+
+def test_steps_are_counted_while_they_run(spark):
+    seen = writers.Diagnostics()
+    df = seen.watched(seen.watched(spark.range(100), "read").filter("id < 7"), "kept")
+    assert df.count() == 7
+    report = seen.report()
+    assert (report["read"], report["kept"]) == (100, 7) and report["seconds"] >= 0
+
+
+def test_files_by_pattern(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("")
+    assert [p.rsplit("/", 1)[-1] for p in readers.files(spark, f"{tmp_path}/*.txt")] == ["a.txt"] and readers.files(spark, f"{tmp_path}/*.csv") == []
