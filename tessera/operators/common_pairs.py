@@ -26,12 +26,13 @@ def largest_groups(rows: DataFrame, group: str, n: int) -> DataFrame:
     return F.broadcast(sizes.orderBy(F.col("__n").desc(), group).limit(min(n, LARGEST)).select(group))
 
 
-def in_blocks(rows: DataFrame, group: str, key: str, block: int = BLOCK) -> DataFrame:
+def in_blocks(rows: DataFrame, group: str, key: str, block: int = BLOCK, sizes: DataFrame | None = None) -> DataFrame:
     """``rows`` with ``__lo``, ``__hi`` and ``__own``: a row per cell, a cell being a pair of blocks of its group.
 
     Two rows of a group meet in exactly one cell for which ``apart`` holds. Groups of up to ``block`` rows have one cell.
+    ``sizes`` (the group, ``__n`` rows at most) spares counting them.
     """
-    large = rows.groupBy(group).agg(F.count("*").alias("__n")).filter(F.col("__n") > block)
+    large = (rows.groupBy(group).agg(F.count("*").alias("__n")) if sizes is None else sizes).filter(F.col("__n") > block)
     large = large.select(group, F.ceil(F.col("__n") / block).cast("int").alias("__blocks"))
     placed = rows.join(large, group, "left").withColumn("__blocks", F.coalesce("__blocks", F.lit(1)))
     placed = placed.withColumn("__own", F.pmod(F.xxhash64(key), F.col("__blocks")).cast("int"))
