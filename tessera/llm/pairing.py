@@ -3,7 +3,9 @@
 Exact pair counts. Pairs are joined basket by basket, except in the (at most 64) largest baskets:
 which of those an item is in is a bit mask of the item, so their part of a pair's count is the
 number of common bits. A pair that meets in large baskets only is found from the masks, leaving
-out each item's largest ones, of which any frequent enough pair shares one more.
+out each item's largest ones, of which any frequent enough pair shares one more. All other baskets
+of more than a thousand items, and the large ones where they are joined, are cut into blocks, a key
+for each pair of blocks. Items that can't reach the count or the lift in any pair are left out before.
 
 Chance. The null model is the maximum-entropy random bipartite graph that keeps, on average,
 every item's frequency and every basket's size: P(item i in basket u) = x_i y_u / (1 + x_i y_u).
@@ -23,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.common_pairs import in_blocks, meeting
 from tessera.session import materialized
 
 HEAVY_BASKETS, HEAVY_FLOOR = 64, 256
@@ -120,15 +123,16 @@ def cooccurring(members: DataFrame, basket: str, item: str, min_count: int = 5,
     # k <= min(a, b), so k N >= lift a b leaves out every item in more than N / lift baskets.
     able = items.filter((F.col("a") >= min_count) & (F.col("a") * min_lift <= n_baskets))
     light = pairs.join(large, "u", "left_anti").join(able.select("i", "iid", "mask"), "i").select("u", "iid", "mask")
-    x, y = light.alias("x"), light.alias("y")
-    met = x.join(y, (F.col("x.u") == F.col("y.u")) & (F.col("x.iid") < F.col("y.iid"))).select(F.col("x.iid").alias("ia"), F.col("y.iid").alias("ib"), F.expr("bit_count(x.mask & y.mask)").alias("h"))
+    cells = in_blocks(light, "u", "iid", sizes=sizes.withColumnRenamed("size", "__n"))
+    met = cells.alias("a").join(cells.alias("b"), meeting("u", "iid")).select(F.col("a.iid").alias("ia"), F.col("b.iid").alias("ib"), F.expr("bit_count(a.mask & b.mask)").alias("h"))
     counted = met.groupBy("ia", "ib").agg(F.count("*").alias("light"), F.max("h").alias("h"))
     if len(heavy) >= min_count:
         bits = F.expr(f"filter(sequence(0, {HEAVY_BASKETS - 1}), j -> shiftrightunsigned(mask, j) % 2 != 0)")
         often = able.filter(F.expr(f"bit_count(mask) >= {min_count}")).select("iid", "mask", F.explode(F.slice(bits, min_count, HEAVY_BASKETS)).alias("bit"))
-        p, q = often.alias("p"), often.alias("q")
-        only = p.join(q, (F.col("p.bit") == F.col("q.bit")) & (F.col("p.iid") < F.col("q.iid"))).select(F.col("p.iid").alias("ia"), F.col("q.iid").alias("ib"), F.lit(0).cast("long").alias("light"), F.expr("bit_count(p.mask & q.mask)").alias("h"))
-        counted = counted.unionByName(only.filter(F.col("h") >= min_count).distinct()).groupBy("ia", "ib").agg(F.sum("light").alias("light"), F.max("h").alias("h"))
+        cells = in_blocks(often, "bit", "iid")
+        only = cells.alias("a").join(cells.alias("b"), meeting("bit", "iid") & F.expr(f"bit_count(a.mask & b.mask) >= {min_count}"))
+        only = only.select(F.col("a.iid").alias("ia"), F.col("b.iid").alias("ib"), F.lit(0).cast("long").alias("light"), F.expr("bit_count(a.mask & b.mask)").alias("h"))
+        counted = counted.unionByName(only.distinct()).groupBy("ia", "ib").agg(F.sum("light").alias("light"), F.max("h").alias("h"))
     often_enough = counted.select("ia", "ib", (F.col("light") + F.col("h")).alias("k")).filter(F.col("k") >= min_count)
 
     side = lambda i, n, name: able.select(F.col("iid").alias(i), F.col("a").alias(n), F.col("i").alias(name))
