@@ -54,6 +54,9 @@ WHERE k * t >= 12 * na.n * nb.n""",
     "p3_found": f"{TERMS} SELECT term, mark FROM m WHERE mark IS NOT NULL",
     "p3_terms": f"{TERMS} SELECT term, occurrences, records, mark FROM m",
     "p3_ngrams": NGRAMS,
+    "p4_relevance": f"""{COUNTS}, w AS (SELECT b, term, n, round(ln(1 + (nn - d + 0.5) / (d + 0.5)) * (n * (1.2::DOUBLE + 1) / (n + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * (len / mean)))), 9) AS score FROM k, s),
+o AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY score DESC, term) AS position FROM w WHERE score > 0)
+SELECT b AS business_id, term, n, score, position FROM o WHERE position <= 5""",
     "p4_found": f"""{COUNTS}, w AS (SELECT b, term, round(n / m * log2(nn / d), 9) AS score FROM k, s)
 SELECT b AS business_id, term FROM w WHERE score > 0
 QUALIFY row_number() OVER (PARTITION BY b ORDER BY score DESC, term) <= 5""",

@@ -7,10 +7,10 @@ The term frequency saturates with k1, and b normalises it by the length of the r
 with b = 1, the largest term count as the length and an average of 1 that is tf / max tf. With
 ``idf="log2"`` this limit of the weighting is the classic n / m * log2(N / d).
 
-A record's rows are brought together by the record's key, where they are counted and packed into
-rows of at most ``PACK`` terms; no later step moves them in long form. Records that hold more than
-``hot_share`` of all rows (at most 1 / hot_share of them) are spread over many tasks instead,
-counted there, and summed by (record, term).
+Terms are counted where the texts are read, before anything is moved by record: a task passes on a
+row of packed counts per record. The counts of a record are then brought together by its key. Records of
+more than ``LARGE`` counts to be summed (a number bounded by size, however many rows a record has)
+are summed by (record, term) instead, so that no task holds such a record whole.
 """
 
 from __future__ import annotations
@@ -26,70 +26,88 @@ from pyspark.sql import functions as F
 
 from tessera.session import materialized
 
-PACK = 4096
-BROADCAST_TERMS = 400_000  # a vocabulary of up to so many terms (some 20 MB) is broadcast, a larger one joined by shuffle
+PACK = 4096  # counts in a row of packed counts
+HELD = 300_000  # counts a task holds before it passes them on
+LARGE = 1_000_000  # counts of a record that are summed within one task
+BROADCAST_RECORDS, BROADCAST_TERMS = 100_000, 400_000  # tables of up to so many rows are broadcast, larger ones joined by shuffle: some 10 MB
 
 
-def _count_terms(pattern: str):
-    """Rows sorted by (record, part) to packed term counts of each."""
+def _packed(record: str, kind: pa.DataType, rows: list[tuple[object, dict[str, int]]]) -> pa.RecordBatch:
+    keys, offsets, terms, counts = [], [0], [], []
+    for key, counted in rows:
+        items = list(counted.items())
+        for i in range(0, len(items), PACK):
+            keys.append(key)
+            terms.extend(t for t, _ in items[i : i + PACK])
+            counts.extend(n for _, n in items[i : i + PACK])
+            offsets.append(len(terms))
+    at = pa.array(offsets, pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.ListArray.from_arrays(at, pa.array(terms, pa.string())), pa.ListArray.from_arrays(at, pa.array(counts, pa.int64()))], names=[record, "terms", "counts"])
+
+
+def _count_terms(pattern: str, held: int):
+    """Rows (record, text) in any order to packed term counts, one row per record as far as ``held`` counts reach."""
     term = re.compile(pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        records: list = []
-        offsets, terms, counts = [0], [], []
-        now, counted = None, Counter()
-
-        def close() -> None:
-            items = list(counted.items())
-            for i in range(0, len(items), PACK):
-                records.append(now[0])
-                terms.extend(t for t, _ in items[i : i + PACK])
-                counts.extend(n for _, n in items[i : i + PACK])
-                offsets.append(len(terms))
-            counted.clear()
-
-        def packed() -> pa.RecordBatch:
-            at = pa.array(offsets, pa.int32())
-            out = pa.RecordBatch.from_arrays([pa.array(records, kind), pa.ListArray.from_arrays(at, pa.array(terms, pa.string())), pa.ListArray.from_arrays(at, pa.array(counts, pa.int64()))], names=["record", "terms", "counts"])
-            records.clear(), terms.clear(), counts.clear()
-            offsets[:] = [0]
-            return out
-
-        kind = None
+        counts: dict[object, Counter] = {}
+        size, kind = 0, None
         for batch in batches:
             kind = batch.schema.field(0).type
-            for record, part, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if (record, part) != now:
-                    if now is not None:
-                        close()
-                        if len(terms) > 100_000:
-                            yield packed()
-                    now = (record, part)
+            for record, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                counted = counts.get(record)
+                if counted is None:
+                    counted = counts[record] = Counter()
+                size -= len(counted)
                 counted.update(term.findall(text.lower()))
-        if now is not None:
-            close()
-        if records:
-            yield packed()
+                size += len(counted)
+                if size >= held:
+                    yield _packed("record", kind, list(counts.items()))
+                    counts.clear()
+                    size = 0
+        if counts:
+            yield _packed("record", kind, list(counts.items()))
 
     return run
 
 
-def term_counts(texts: DataFrame, record: str, text: str, min_letters: int = 1, hot_share: float = 1 / 256, spread: int = 64) -> tuple[DataFrame, DataFrame]:
-    """Term counts of ordinary records as packed rows (record, terms, counts) and of hot records as
+def _merge_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed counts sorted by record to those of each record summed."""
+    out, size, now, counted, kind = [], 0, None, None, None
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for record, terms, counts in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if counted is None or (record != now and (record == record or now == now)):  # NaN is one record
+                if counted is not None:
+                    out.append((now, counted))
+                    size += len(counted)
+                    if size > 100_000:
+                        yield _packed("record", kind, out)
+                        out, size = [], 0
+                now, counted = record, dict(zip(terms, counts))
+            else:
+                for t, n in zip(terms, counts):
+                    counted[t] = counted.get(t, 0) + n
+    if counted is not None:
+        yield _packed("record", kind, [*out, (now, counted)])
+
+
+def _small(table: DataFrame, most: int) -> DataFrame:
+    """A table to be joined: broadcast if it has at most ``most`` rows, which is counted."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
+def term_counts(texts: DataFrame, record: str, text: str, min_letters: int = 1, large: int = LARGE, held: int = HELD) -> tuple[DataFrame, DataFrame]:
+    """Term counts of ordinary records as packed rows (record, terms, counts) and of large records as
     rows (record, term, n). Rows with a null record or text are left out."""
-    rows = materialized(texts.select(F.col(record).alias("record"), F.col(text).alias("text")).dropna(), "texts")  # read three times
-    sizes = rows.groupBy("record").agg(F.count("*").alias("rows"))
-    total = sizes.agg(F.sum("rows")).first()[0] or 0
-    hot = F.broadcast(sizes.filter(F.col("rows") > total * hot_share).select("record"))  # fewer than 1 / hot_share rows
-    pattern = "[a-z]{%d,}" % min_letters
+    rows = texts.select(F.col(record).alias("record"), F.col(text).alias("text")).dropna()
     kind = rows.schema["record"].dataType.simpleString()
     schema = f"record {kind}, terms array<string>, counts array<long>"
-    once = rows.join(hot, "record", "left_anti").repartition("record").sortWithinPartitions("record")
-    packed = once.select("record", F.lit(0).alias("part"), "text").mapInArrow(_count_terms(pattern), schema)
-    parts = rows.join(hot, "record", "left_semi").withColumn("part", F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(spread)).cast("int"))
-    parts = parts.repartition("record", "part").sortWithinPartitions("record", "part")
-    pieces = parts.select("record", "part", "text").mapInArrow(_count_terms(pattern), schema)
-    return packed, unpacked(pieces).groupBy("record", "term").agg(F.sum("n").alias("n"))
+    local = materialized(rows.mapInArrow(_count_terms("[a-z]{%d,}" % min_letters, held), schema), "counts")
+    sizes = local.groupBy("record").agg(F.sum(F.size("terms")).alias("size")).filter(F.col("size") > large).select("record")
+    hot = _small(materialized(sizes, "large"), BROADCAST_RECORDS)
+    packed = local.join(hot, "record", "left_anti").repartition("record").sortWithinPartitions("record").mapInArrow(_merge_counts, schema)
+    return packed, unpacked(local.join(hot, "record", "left_semi")).groupBy("record", "term").agg(F.sum("n").alias("n"))
 
 
 def unpacked(packed: DataFrame) -> DataFrame:
@@ -98,7 +116,7 @@ def unpacked(packed: DataFrame) -> DataFrame:
 
 def characteristic_terms(
     texts: DataFrame, record: str, text: str, top: int, stop_words: DataFrame | None = None, min_letters: int = 1, min_records: int = 1,
-    k1: float = 1.2, b: float = 0.75, length: str = "sum", idf: str = "bm25", hot_share: float = 1 / 256,
+    k1: float = 1.2, b: float = 0.75, length: str = "sum", idf: str = "bm25", large: int = LARGE,
 ) -> DataFrame:
     """The ``top`` terms of every record with a score above 0: (record, term, n, length, records, score, position).
 
@@ -110,16 +128,23 @@ def characteristic_terms(
     without terms, and an empty table, give no rows; null records or texts are left out; other
     columns are ignored and repeated rows count as often as they occur.
     """
-    packed, hot = term_counts(texts, record, text, min_letters, hot_share)
+    packed, hot = term_counts(texts, record, text, min_letters, large)
     packed, hot = materialized(packed, "packed"), materialized(hot, "hot")
     vocabulary = unpacked(packed).select("term").unionByName(hot.select("term")).groupBy("term").agg(F.count("*").alias("records")).filter(F.col("records") >= min_records)
     if stop_words is not None:
         vocabulary = vocabulary.join(stop_words.select(F.lower(F.trim("word")).alias("term")).distinct(), "term", "left_anti")
     vocabulary = materialized(vocabulary, "vocabulary")
-    known = F.broadcast(vocabulary) if vocabulary.count() <= BROADCAST_TERMS else vocabulary
+    # By a 64-bit number of the term a broadcast table takes some 30 bytes a row, whatever the terms' length.
+    numbered = vocabulary.select(F.xxhash64("term").alias("number"), "records")
+    few = vocabulary.count() <= BROADCAST_TERMS and numbered.select("number").distinct().count() == vocabulary.count()
+
+    def known(rows: DataFrame) -> DataFrame:
+        if not few:
+            return rows.join(vocabulary, "term")
+        return rows.withColumn("number", F.xxhash64("term")).join(F.broadcast(numbered), "number").drop("number")
 
-    ordinary = lambda rows: unpacked(rows).join(known, "term")
-    extreme = hot.join(known, "term")
+    ordinary = lambda rows: known(unpacked(rows))
+    extreme = known(hot)
     of = F.max("n") if length == "max" else F.sum("n")
     lengths = lambda rows: rows.groupBy("record").agg(of.alias("length"))
     n_records, mean = lengths(ordinary(packed)).unionByName(lengths(extreme)).agg(F.count("*"), F.avg("length")).first()
@@ -132,7 +157,7 @@ def characteristic_terms(
         return scored.withColumn("position", F.row_number().over(best)).filter(F.col("position") <= top).select("record", "term", "n", "length", "records", "score", "position")
 
     in_place = ordinary(packed.repartition("record")).withColumn("length", of.over(Window.partitionBy("record")))
-    return ranked(in_place).unionByName(ranked(extreme.join(F.broadcast(lengths(extreme)), "record")))
+    return ranked(in_place).unionByName(ranked(extreme.join(_small(materialized(lengths(extreme), "lengths"), BROADCAST_RECORDS), "record")))
 
 
 def _score(n_records: float, unit: float, k1: float, b: float, idf: str) -> Column:

@@ -68,12 +68,12 @@ def expected(rows, top, min_letters, min_records, score):
     return out
 
 
-@pytest.mark.parametrize("hot_share", [1 / 256, 0.1, 2.0])
-def test_profiles_with_hot_records_spread(spark, hot_share):
+@pytest.mark.parametrize("large", [5, 20, 10**6])
+def test_profiles_with_large_records_spread(spark, large):
     rows = reviews()
     stop = spark.createDataFrame([(" The ",), (None,), ("",)], "word string")
     df = spark.createDataFrame(rows, "b string, t string").withColumn("score", F.lit(1))
-    run = lambda **k: weighting.characteristic_terms(df, "b", "t", 3, stop, 2, 2, hot_share=hot_share, **k)
+    run = lambda **k: weighting.characteristic_terms(df, "b", "t", 3, stop, 2, 2, large=large, **k)
     of = lambda out: {b: [w for _, w in sorted(ws)] for b, ws in {b: [(r["position"], r["term"]) for r in out if r["record"] == b] for b in {r["record"] for r in out}}.items()}
     classic = expected(rows, 3, 2, 2, lambda k, c, n, d, mean: k / max(c.values()) * math.log2(n / d))
     assert of(run(k1=float("inf"), b=1.0, length="max", idf="log2").collect()) == {b: w for b, w in classic.items() if w}
@@ -84,3 +84,13 @@ def test_profiles_with_hot_records_spread(spark, hot_share):
 def test_no_texts(spark):
     none = spark.createDataFrame([], "b string, t string")
     assert weighting.characteristic_terms(none, "b", "t", 3).collect() == []
+
+
+def test_counts_passed_on_early_are_summed(spark):
+    rows = reviews()
+    df = spark.createDataFrame(rows, "b string, t string")
+    n = Counter((b, w) for b, t in rows if b is not None and t for w in re.findall("[a-z]+", t))
+    for large, held in ((10**6, 1), (10**6, 7), (30, 7), (0, 10**6)):
+        packed, hot = weighting.term_counts(df, "b", "t", large=large, held=held)
+        found = [tuple(r) for r in weighting.unpacked(packed).unionByName(hot).collect()]
+        assert len(found) == len(n) and {(b, t): k for b, t, k in found} == n
