@@ -32,17 +32,20 @@ LARGE = 1_000_000  # counts of a record that are summed within one task
 BROADCAST_RECORDS, BROADCAST_TERMS = 100_000, 400_000  # tables of up to so many rows are broadcast, larger ones joined by shuffle: some 10 MB
 
 
-def _packed(record: str, kind: pa.DataType, rows: list[tuple[object, dict[str, int]]]) -> pa.RecordBatch:
-    keys, offsets, terms, counts = [], [0], [], []
+PACKED = "terms string, counts string, size int"  # terms and counts with blanks between, as compact as the text they are from
+
+
+def _packed(kind: pa.DataType, rows: list[tuple[object, dict[str, int]]]) -> pa.RecordBatch:
+    keys, terms, counts, sizes = [], [], [], []
     for key, counted in rows:
-        items = list(counted.items())
-        for i in range(0, len(items), PACK):
+        held, numbers = list(counted), list(counted.values())
+        for i in range(0, len(held), PACK):
+            part = numbers[i : i + PACK]
             keys.append(key)
-            terms.extend(t for t, _ in items[i : i + PACK])
-            counts.extend(n for _, n in items[i : i + PACK])
-            offsets.append(len(terms))
-    at = pa.array(offsets, pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.ListArray.from_arrays(at, pa.array(terms, pa.string())), pa.ListArray.from_arrays(at, pa.array(counts, pa.int64()))], names=[record, "terms", "counts"])
+            terms.append(" ".join(held[i : i + PACK]))
+            counts.append(" ".join(map(str, part)))
+            sizes.append(len(part))
+    return pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(terms, pa.string()), pa.array(counts, pa.string()), pa.array(sizes, pa.int32())], names=["record", "terms", "counts", "size"])
 
 
 def _count_terms(pattern: str, held: int):
@@ -62,11 +65,11 @@ def _count_terms(pattern: str, held: int):
                 counted.update(term.findall(text.lower()))
                 size += len(counted)
                 if size >= held:
-                    yield _packed("record", kind, list(counts.items()))
+                    yield _packed(kind, list(counts.items()))
                     counts.clear()
                     size = 0
         if counts:
-            yield _packed("record", kind, list(counts.items()))
+            yield _packed(kind, list(counts.items()))
 
     return run
 
@@ -82,14 +85,14 @@ def _merge_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     out.append((now, counted))
                     size += len(counted)
                     if size > 100_000:
-                        yield _packed("record", kind, out)
+                        yield _packed(kind, out)
                         out, size = [], 0
-                now, counted = record, dict(zip(terms, counts))
+                now, counted = record, dict(zip(terms.split(" "), map(int, counts.split(" "))))
             else:
-                for t, n in zip(terms, counts):
+                for t, n in zip(terms.split(" "), map(int, counts.split(" "))):
                     counted[t] = counted.get(t, 0) + n
     if counted is not None:
-        yield _packed("record", kind, [*out, (now, counted)])
+        yield _packed(kind, [*out, (now, counted)])
 
 
 def _small(table: DataFrame, most: int) -> DataFrame:
@@ -102,16 +105,17 @@ def term_counts(texts: DataFrame, record: str, text: str, min_letters: int = 1,
     rows (record, term, n). Rows with a null record or text are left out."""
     rows = texts.select(F.col(record).alias("record"), F.col(text).alias("text")).dropna()
     kind = rows.schema["record"].dataType.simpleString()
-    schema = f"record {kind}, terms array<string>, counts array<long>"
+    schema = f"record {kind}, {PACKED}"
     local = materialized(rows.mapInArrow(_count_terms("[a-z]{%d,}" % min_letters, held), schema), "counts")
-    sizes = local.groupBy("record").agg(F.sum(F.size("terms")).alias("size")).filter(F.col("size") > large).select("record")
+    sizes = local.groupBy("record").agg(F.sum("size").alias("size")).filter(F.col("size") > large).select("record")
     hot = _small(materialized(sizes, "large"), BROADCAST_RECORDS)
     packed = local.join(hot, "record", "left_anti").repartition("record").sortWithinPartitions("record").mapInArrow(_merge_counts, schema)
     return packed, unpacked(local.join(hot, "record", "left_semi")).groupBy("record", "term").agg(F.sum("n").alias("n"))
 
 
 def unpacked(packed: DataFrame) -> DataFrame:
-    return packed.select("record", F.explode(F.arrays_zip("terms", "counts")).alias("t")).select("record", F.col("t.terms").alias("term"), F.col("t.counts").alias("n"))
+    both = F.arrays_zip(F.split("terms", " ").alias("term"), F.split("counts", " ").alias("n"))
+    return packed.select("record", F.inline(both)).select("record", "term", F.col("n").cast("long").alias("n"))
 
 
 def characteristic_terms(
