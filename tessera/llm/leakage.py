@@ -1,18 +1,19 @@
 """Which documents contain passages of held-out evaluation items, and of which items.
 
-An inverted index of the items is queried with every passage of every document. Its terms are
-shingles of five words, its impacts BM25 weights, and all items above a threshold are retrieved.
-The threshold loses nothing: in a passage that holds ``span`` words of an item, each edited word
-takes away five shingles at most, so the passage scores at least the lightest such stretch of the
-item without its heaviest shingles, five for each edit. Impacts are divided by that bound, so that
-1 is the threshold of every item. As in block-max WAND, items are only scored where upper bounds
-allow: first the sum of the passage's largest impacts anywhere, then the sum of its largest
-impacts within each block of items. The bounds are evaluated for all passages of a batch at once
-instead of by moving a pivot through one passage's lists; what is skipped, and the result, are
-the same.
-
-What is retrieved is then verified by alignment: does the passage hold ``span`` consecutive
-words of the item, question and answer alike, with at most one in ten changed, dropped or added?
+The items have an inverted index, a table of postings that is queried with every passage of every
+document in one pass. Its terms are shingles of five words, its impacts BM25 weights, and all items above a
+threshold are retrieved. The threshold loses nothing: in a passage that holds ``span`` words of an item,
+each edited word takes away five shingles at most, so the passage scores at least the lightest such
+stretch of the item without its heaviest shingles, five for each edit. Impacts are divided by that bound,
+so that 1 is the threshold of every item. As in WAND, the terms of a passage are put in order of their
+largest impact in any item, and the pivot is the first at which their sum reaches 1: an item that holds
+none of the terms from the pivot on can't reach the threshold. So only the postings from the pivot on are
+joined, and an item is kept if its impacts there and the bound of all terms before reach 1.
+
+Before that, a passage must hold enough shingles of any item at all, by a Bloom filter of at most
+2^26 bits; what it lets through wrongly finds no postings. What is retrieved is then verified by alignment:
+does the passage hold ``span`` consecutive words of the item, question and answer alike, with at most one in
+ten changed, dropped or added?
 """
 
 from __future__ import annotations
@@ -22,16 +23,19 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import materialized
+
 SHINGLE = 5  # words
-BLOCK = 16  # items whose largest impacts are summed up together
-SHARD = 10_000  # items indexed at once; more are searched in turn
+FILTER_BITS = 26  # the filter has 2^26 bits (8 MB) at most
+BROADCAST_ITEMS = 20_000  # items whose words are broadcast, at most 2,000 words each; more are joined by shuffle
+KNOWN = 500_000  # words whose numbers a task keeps
 
 # Cyrillic and Greek letters that look like Latin ones, and Latin letters that decomposition leaves alone.
 LOOKALIKES = str.maketrans("аеорсухіјѕһԁԛԝвкмнтαοενιρτυχκ", "aeopcyxijshdqwbkmhtaoeviptyxk")
@@ -67,100 +71,113 @@ def _latin(word: str) -> str:
     return latin if latin.isascii() or re.search("[a-z]", word) else word
 
 
-class Postings(NamedTuple):
-    """For each term the targets (items, or blocks of items) it occurs in, with its largest impact in each."""
-
-    starts: np.ndarray
-    targets: np.ndarray
-    impacts: np.ndarray
+class Numbers(dict):
+    """A 64-bit number for every word; a task keeps those of the last ``KNOWN`` words."""
 
-    def sums(self, passages: np.ndarray, terms: np.ndarray, only: np.ndarray | None = None, block: int = 1) -> tuple[np.ndarray, np.ndarray]:
-        """(passage, target) pairs with summed impacts of at least 1; ``only``: allowed passage * 2^32 + target // block."""
-        sizes = self.starts[terms + 1] - self.starts[terms]
-        total = np.concatenate([[0], np.cumsum(sizes)])
-        at = np.arange(total[-1]) - np.repeat(total[:-1] - self.starts[terms], sizes)
-        p, t, w = np.repeat(passages, sizes), self.targets[at], self.impacts[at]
-        if only is not None:
-            keep = np.isin((p << 32) | (t // block), only)
-            p, t, w = p[keep], t[keep], w[keep]
-        pairs, where = np.unique((p << 32) | t, return_inverse=True)
-        enough = pairs[np.bincount(where, weights=w, minlength=len(pairs)) >= 1]
-        return enough >> 32, enough & 0xFFFFFFFF
+    def __missing__(self, word: str) -> int:
+        if len(self) >= KNOWN:
+            self.clear()
+        number = self[word] = xxhash.xxh3_64_intdigest(word)
+        return number
 
+    def of(self, text: str | None) -> np.ndarray:
+        return np.array([self[w] for w in words(text)], dtype=np.uint64)
 
-class Index(NamedTuple):
-    ids: list
-    vocabulary: dict[str, int]
-    items: list[np.ndarray]
-    hashes: np.ndarray  # of the terms, sorted
-    largest: np.ndarray  # impact of each term in any item
-    by_item: Postings
-    by_block: Postings
 
-
-def shingles(ids: np.ndarray) -> np.ndarray:
-    """A 64-bit number for every five consecutive word ids; equal shingles have equal numbers."""
+def shingles(numbers: np.ndarray) -> np.ndarray:
+    """A 64-bit number for every five consecutive word numbers; equal shingles have equal numbers."""
     with np.errstate(over="ignore"):
-        out = np.zeros(max(0, len(ids) - SHINGLE + 1), dtype=np.uint64)
+        out = np.zeros(max(0, len(numbers) - SHINGLE + 1), dtype=np.uint64)
         for k in range(SHINGLE):
-            out = (out ^ (ids[k : k + len(out)].astype(np.uint64) + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
+            out = (out ^ numbers[k : k + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
             out ^= out >> np.uint64(29)
     return out
 
 
-def _postings(terms: np.ndarray, targets: np.ndarray, impacts: np.ndarray, n_terms: int) -> Postings:
-    pairs, where = np.unique((terms.astype(np.int64) << 32) | targets, return_inverse=True)
-    most = np.zeros(len(pairs))
-    np.maximum.at(most, where, impacts)
-    return Postings(np.searchsorted(pairs >> 32, np.arange(n_terms + 1)), pairs & 0xFFFFFFFF, most)
-
-
-def build_index(items: list[tuple], span: int = 20, share: float = 0.1, k1: float = 1.2, b: float = 0.75) -> Index | None:
-    """The impact index of items (id, text); items shorter than ``span`` words can't be found and are left out."""
-    split = [(i, w) for i, t in items if len(w := words(t)) >= span]
-    if not split:
-        return None
-    vocabulary: dict[str, int] = {}
-    coded = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in ws], dtype=np.int32) for _, ws in split]
-    hashed = [shingles(c) for c in coded]
-    hashes, flat = np.unique(np.concatenate(hashed), return_inverse=True)
-    cuts = np.cumsum([len(h) for h in hashed])[:-1]
-    of_item = np.split(flat, cuts)
-    n, mean = len(coded), float(np.mean([len(h) for h in hashed]))
-    df = np.zeros(len(hashes))
-    for terms in of_item:
-        df[np.unique(terms)] += 1
-    idf = np.log1p((n - df + 0.5) / (df + 0.5))
-    rows = []
+def _signed(lists: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
+    flat = np.concatenate(lists) if lists else np.zeros(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
+
+
+def _unsigned(column: pa.ListArray) -> list[np.ndarray]:
+    offsets, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).view(np.uint64)
+    return [flat[i:j] for i, j in zip(offsets[:-1], offsets[1:])]
+
+
+def stretches(span: int, share: float) -> list[tuple[int, int]]:
+    """(edits, words): for every number of edits that can decide, the length of the shortest stretch that may have so many."""
     first, last = int(span * share + 1e-9), int((2 * span - 1) * share + 1e-9)
-    for j, order in enumerate(of_item):
-        terms, tf = np.unique(order, return_counts=True)
-        weight = idf[terms] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(order) / mean))
-        of = dict(zip(terms.tolist(), weight.tolist()))
-        least = math.inf
-        for edits in range(first, last + 1):  # the shortest stretch that may have so many edits
-            length = max(span, math.ceil(edits / share - 1e-9)) - SHINGLE + 1
-            for s in range(len(order) - length + 1):
-                held = sorted((of[t] for t in set(order[s : s + length].tolist())), reverse=True)
-                least = min(least, sum(held[SHINGLE * edits :]))
-        rows.append((terms, np.full(len(terms), j, dtype=np.int64), weight / max(least * (1 - 1e-9), 1e-6)))
-    terms, targets, impacts = (np.concatenate(x) for x in zip(*rows))
-    largest = np.zeros(len(hashes))
-    np.maximum.at(largest, terms, impacts)
-    return Index([i for i, _ in split], vocabulary, coded, hashes, largest, _postings(terms, targets, impacts, len(hashes)), _postings(terms, targets // BLOCK, impacts, len(hashes)))
-
-
-def retrieve(index: Index, passages: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All (passage, item) with a score of at least 1, from distinct pairs (passage, term)."""
-    if len(passages):
-        able = np.bincount(passages, weights=index.largest[terms]) >= 1
-        passages, terms = passages[able[passages]], terms[able[passages]]
-    if not len(passages):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    p, block = index.by_block.sums(passages, terms)
-    opened = (p << 32) | block
-    keep = np.isin(passages, p)
-    return index.by_item.sums(passages[keep], terms[keep], opened, BLOCK)
+    return [(e, max(span, math.ceil(e / share - 1e-9) if e else 0)) for e in range(first, last + 1)]
+
+
+def _item_words(span: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = Numbers()
+        for batch in batches:
+            coded = [numbers.of(t) for t in batch.column(1).to_pylist()]
+            long = [i for i, c in enumerate(coded) if len(c) >= span]  # a shorter item can't be found
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(long, pa.int64())), _signed([coded[i] for i in long]), _signed([shingles(coded[i]) for i in long])], names=["item", "words", "shingles"])
+
+    return run
+
+
+def _impacts(span: int, share: float):
+    """Per item its terms' weights divided by the item's bound: the least that any stretch keeps after its edits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for entry, order, terms, weights in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                of, least = dict(zip(terms, weights)), math.inf
+                for edits, length in stretches(span, share):
+                    length -= SHINGLE - 1
+                    for s in range(len(order) - length + 1):
+                        held = sorted((of[t] for t in set(order[s : s + length])), reverse=True)
+                        least = min(least, sum(held[SHINGLE * edits :]))
+                bound = max(least * (1 - 1e-9), 1e-6)
+                yield pa.RecordBatch.from_pydict({"term": pa.array(terms, pa.int64()), "entry": pa.array([entry] * len(terms), pa.int64()), "impact": pa.array([w / bound for w in weights], pa.float64())})
+
+    return run
+
+
+def build_index(items: DataFrame, item_id: str, text: str, span: int = 20, share: float = 0.1, k1: float = 1.2, b: float = 0.75) -> tuple[DataFrame, DataFrame]:
+    """(entry, item, words) of the items of at least ``span`` words, and the postings (term, entry, impact)."""
+    kind = items.schema[item_id].dataType.simpleString()
+    given = items.select(item_id, text).dropna().distinct()
+    entries = given.mapInArrow(_item_words(span), f"item {kind}, words array<long>, shingles array<long>").withColumn("entry", F.monotonically_increasing_id())
+    entries = materialized(entries, "items")
+    n, mean = entries.agg(F.count("*"), F.avg(F.size("shingles"))).first()
+    held = entries.select("entry", F.size("shingles").alias("length"), F.explode("shingles").alias("term")).groupBy("entry", "length", "term").agg(F.count("*").cast("double").alias("tf"))
+    df = held.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log1p((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(float(mean or 1.0))))
+    weighted = held.join(df, "term").groupBy("entry").agg(F.collect_list(F.struct("term", weight.alias("weight"))).alias("w"))  # the terms of one item's text
+    ready = weighted.join(entries, "entry").select("entry", "shingles", "w.term", "w.weight")
+    postings = materialized(ready.mapInArrow(_impacts(span, share), "term long, entry long, impact double"), "postings")
+    return entries.select("entry", "item", "words"), postings
+
+
+def _positions(shift: int, bits: int) -> Column:
+    return F.shiftrightunsigned("term", shift).bitwiseAND(F.lit((1 << bits) - 1))
+
+
+def term_filter(terms: DataFrame) -> np.ndarray:
+    """A Bloom filter of the terms, three bits each: 16 bits for every term up to 2^``FILTER_BITS``."""
+    bits = min(FILTER_BITS, max(10, (16 * terms.count()).bit_length()))
+    at = terms.select(F.explode(F.array(*[_positions(s, bits) for s in (0, 21, 38)])).alias("at"))
+    words_ = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("bits"))
+    out = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    for part in words_.toLocalIterator():  # at most 2^20 rows, whatever the number of terms
+        out[part["word"]] = part["bits"] % 2**64
+    return out
+
+
+def _passing(table: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    mask, keep = np.uint64(64 * len(table) - 1), np.ones(len(terms), dtype=bool)
+    for shift in (0, 21, 38):
+        at = (terms >> np.uint64(shift)) & mask
+        keep &= (table[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    return keep
 
 
 def holds(passage: np.ndarray, item: np.ndarray, span: int = 20, share: float = 0.1) -> bool:
@@ -210,59 +227,76 @@ def leaked(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_
     """(doc_id, item_id) of every document that holds at least ``span`` consecutive words of an item.
 
     At most ``share`` of these words may be changed, dropped or added. Items that share a passage
-    are all found. Documents are searched whole, passage by passage, without a shuffle. ``items``
-    is read to the driver and indexed in shards of ``SHARD`` items, each searched in turn, so that
-    no task holds more than one shard. Null and empty texts, and texts of fewer words, are no
+    are all found. Documents are read once, whole, passage by passage; what is moved are the passages
+    that hold words of some item. Null and empty texts, and texts of fewer words, are no
     cases; empty tables give no rows; rows repeated give one row.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in [*documents.schema.fields, *items.schema.fields]}
-    schema = f"`{doc_id}` {kinds[doc_id]}, `{item_id}` {kinds[item_id]}"
-    held = sorted(((r[0], r[1]) for r in items.select(item_id, text).dropna().distinct().toLocalIterator()), key=lambda r: (str(r[0]), r[1]))
-    out = documents.sparkSession.createDataFrame([], schema)
-    for at in range(0, len(held), SHARD):
-        index = build_index(held[at : at + SHARD], span, share)
-        if index is not None:
-            out = out.unionByName(documents.select(doc_id, text).mapInArrow(_search(index, doc_id, item_id, span, share), schema))
-    return out.distinct()
-
-
-def _search(index: Index, doc_id: str, item_id: str, span: int, share: float):
+    kinds = [documents.schema[doc_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()]
+    entries, postings = build_index(items, item_id, text, span, share)
+    terms = materialized(postings.groupBy("term").agg(F.max("impact").alias("most")), "terms")
+    schema = f"doc {kinds[0]}, words array<long>, terms array<long>"
+    found = documents.select(doc_id, text).mapInArrow(_passages(term_filter(terms), span, share), schema)
+    passages = materialized(found.withColumn("passage", F.monotonically_increasing_id()), "passages")
+
+    hits = passages.select("passage", F.explode("terms").alias("term")).join(terms, "term")
+    rising = Window.partitionBy("passage").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)  # the terms of one passage
+    bounded = hits.withColumn("bound", F.sum("most").over(rising))
+    before = F.max(F.when(F.col("bound") < 1, F.col("bound"))).over(Window.partitionBy("passage"))
+    pivoted = bounded.withColumn("before", F.coalesce(before, F.lit(0.0))).filter(F.col("bound") >= 1)
+    scored = pivoted.join(postings, "term").groupBy("passage", "entry").agg((F.sum("impact") + F.max("before")).alias("most"))
+    candidates = scored.filter(F.col("most") >= 1 - 1e-6)
+
+    of_item = entries.select("entry", "item", F.col("words").alias("item_words"))
+    few = entries.filter(F.size("words") > 2000).isEmpty() and entries.count() <= BROADCAST_ITEMS
+    pairs = candidates.join(passages.select("passage", "doc", "words"), "passage").join(F.broadcast(of_item) if few else of_item, "entry")
+    ordered = pairs.repartition("doc", "entry").sortWithinPartitions("doc", "entry", F.col("most").desc(), "passage")
+    verified = ordered.select("doc", "item", "entry", "words", "item_words").mapInArrow(_verified(span, share, [doc_id, item_id]), f"`{doc_id}` {kinds[0]}, `{item_id}` {kinds[1]}")
+    return verified.distinct()
+
+
+def _passages(table: np.ndarray, span: int, share: float):
     step = span + 2
     width = 2 * span - 1 + int((2 * span - 1) * share) + step  # holds any stretch of up to 39 words and its edits whole
+    need = max(1, min(length - SHINGLE + 1 - SHINGLE * edits for edits, length in stretches(span, share)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = index.vocabulary.get
+        numbers = Numbers()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                coded = [np.array([known(w, -1) for w in words(t)], dtype=np.int32) for t in part.column(1).to_pylist()]
-                sizes = np.array([max(0, len(c) - SHINGLE + 1) for c in coded])
-                if not sizes.sum():
-                    continue
-                hashed = np.concatenate([shingles(c) for c in coded])
-                doc = np.repeat(np.arange(len(coded)), sizes)
-                place = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                term = np.minimum(np.searchsorted(index.hashes, hashed), len(index.hashes) - 1)
-                hit = index.hashes[term] == hashed
-                doc, place, term = doc[hit], place[hit], term[hit]
-                # every passage (start 0, step, 2 step, ...) that holds the shingle whole
-                most = width // step + 1
-                number = place[:, None] // step - np.arange(most)[None, :]
-                inside = (number >= 0) & (place[:, None] + SHINGLE <= number * step + width)
-                row, _ = np.nonzero(inside)
-                cells = np.unique(np.stack([doc[row], number[inside], term[row]], axis=1), axis=0)
-                if not len(cells):
+            docs, held, terms = [], [], []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                coded = numbers.of(t)
+                hashed = shingles(coded)
+                at = np.flatnonzero(_passing(table, hashed))
+                if len(at) < need:
                     continue
-                starts, passage = np.unique(cells[:, :2], axis=0, return_inverse=True)
-                p, i = retrieve(index, passage.reshape(-1).astype(np.int64), cells[:, 2])
-                found: set[tuple[int, int]] = set()
-                for q, item in zip(p.tolist(), i.tolist()):
-                    d, s = int(starts[q][0]), int(starts[q][1]) * step
-                    if (d, item) not in found and holds(coded[d][s : s + width], index.items[item], span, share):
-                        found.add((d, item))
-                if found:
-                    ordered = sorted(found)
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array([d for d, _ in ordered])), pa.array([index.ids[i] for _, i in ordered])], names=[doc_id, item_id])
+                # passage p holds the shingles that start at p * step ... p * step + width - SHINGLE
+                for p in np.unique(at // step):
+                    for q in range(max(0, int(p) - width // step), int(p) + 1):
+                        low, high = np.searchsorted(at, [q * step, q * step + width - SHINGLE + 1])
+                        if high - low >= need and (not docs or (docs[-1], last) < (i, q)):
+                            docs.append(i)
+                            held.append(coded[q * step : q * step + width])
+                            terms.append(np.unique(hashed[at[low:high]]))
+                            last = q
+            if docs:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(docs, pa.int64())), _signed(held), _signed(terms)], names=["doc", "words", "terms"])
+
+    return run
+
+
+def _verified(span: int, share: float, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # the pair found last; its other passages needn't be aligned
+        for batch in batches:
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()))
+            keep = []
+            for i, (passage, item) in enumerate(zip(_unsigned(batch.column(3)), _unsigned(batch.column(4)))):
+                if keys[i] != last and holds(passage, item, span, share):
+                    keep.append(i)
+                    last = keys[i]
+            if keep:
+                at = pa.array(keep, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=names)
 
     return run
 

@@ -94,14 +94,30 @@ def test_planted_passages_come_out(spark):
     assert sum(r["documents"] for r in leakage.leak_report(leakage.leaked(corpus, held)).collect()) == len(expected)
 
 
-def test_shards_find_the_same(spark, monkeypatch):
+def test_items_joined_by_shuffle_are_the_same(spark, monkeypatch):
     items = [(i, " ".join(passage(30, i))) for i in range(6)]
     docs = spark.createDataFrame([(d, t) for d, t in items], "doc_id long, text string")
     held = spark.createDataFrame(items, "item_id long, text string")
-    monkeypatch.setattr(leakage, "SHARD", 2)
+    monkeypatch.setattr(leakage, "BROADCAST_ITEMS", 0)
+    monkeypatch.setattr(leakage, "FILTER_BITS", 10)  # a filter so full that it lets nearly everything through
     assert sorted(map(tuple, leakage.leaked(docs, held).collect())) == [(i, i) for i in range(6)]
 
 
+def test_words_that_all_items_share_open_no_item(spark):
+    """A passage of every item, in every document, and items that only some documents hold besides."""
+    common = passage(19, 50)  # a word short of a case
+    items = {i: common + passage(40, 300 + i) for i in range(30)}
+    items[30] = common + ["end"]
+    docs = {d: passage(10, 800 + d) + common + passage(9, 900 + d) + (items[d][25:50] if d < 10 else []) for d in range(40)}
+    docs[40] = common + ["end"]
+    held = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    corpus = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string")
+    number = {x: k for k, x in enumerate({*sum(items.values(), []), *sum(docs.values(), [])})}
+    code = lambda ws: np.array([number[x] for x in ws])
+    expected = {(d, i) for d, w in docs.items() for i, item in items.items() if leakage.holds(code(w), code(item))}
+    assert {tuple(r) for r in leakage.leaked(corpus, held).collect()} == expected and (40, 30) in expected
+
+
 @pytest.mark.parametrize("text", ["The Crème-brûlée!", "THE creme brulee", "the<br />cr­eme bru​lee", "Ｔｈｅ creme <b>bru</b>lee", "thе сrеmе brulее", "the &#99;reme bru-\nlee", "the crème brulee"])
 def test_ways_of_writing(text):
     assert leakage.words(text) == ["the", "creme", "brulee"]
