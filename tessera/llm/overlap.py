@@ -1,31 +1,36 @@
 """All pairs of records whose sets of values overlap by a Jaccard threshold: extended-prefix join.
 
 Values are ordered from rare to frequent. Two sets that share at least T values share at least
-L of them within their L-prefixes, the first |x| - T + L values. L is 2 here, so a pair must show
-two shared prefix values. How it has to show them adapts to the frequency of a value:
+L of them within their L-prefixes, the first |x| - T + L values. A longer prefix has more keys but asks
+for more of them, so L is chosen: only records of comparable size can be similar, keys are formed within
+cells of neighbouring size bands, and every cell takes the L of ``LENGTHS`` for which the keys' pairs
+are fewest. How a pair of records has to show its L shared prefix values adapts to their frequency, too:
 
-* a value that is rare for the size of the sets is a join key of its own; such single keys
-  are counted per pair, and one alone isn't enough;
+* a value that is rare for the size of the sets is a join key of its own;
 * a value so frequent that joining on it would give more pairs than there are combinations
-  (``df > 2 * prefix length``) is only joined in combination with a second prefix value.
+  (``df > 2 * prefix length``) is only joined in combination with a second prefix value, if L > 1.
 
-Only records of comparable size can be similar, so keys are formed within cells of neighbouring
-size bands. The pairs that remain are verified exactly, in long form, so that a set of any size
-is never gathered into one row. Copies (equal sets) are folded into classes before the join.
+From the numbers of common single keys and common combinations follows how many prefix values a pair
+shares; pairs with less than L, or too few values left, aren't looked at. The others are verified exactly, in
+long form, so that a set of any size is never gathered into one row. Copies (equal sets) are folded
+into classes before the join. Keys of many records are joined in blocks.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.ranking import with_positions
+from tessera.operators.common_pairs import in_blocks, meeting
 from tessera.session import materialized
 
-PREFIX = 2
+LENGTHS = (1, 2, 3)
+LOOKED_AT = 16  # the choice of L reads one key in so many; it changes the plan, not the result
 
 
 class SimilarSets(NamedTuple):
@@ -64,7 +69,7 @@ def similar_sets(left: DataFrame, key: str, item: str, threshold: float = 0.8, m
     marks = members.groupBy("side", "key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("item")).alias("f1"), F.bit_xor(F.xxhash64(F.lit(1), "item")).alias("f2"))
     marks = marks.filter(F.col("n") >= min_size)
     heads = marks.groupBy("side", "n", "f1", "f2").agg(F.min("key").alias("representative"))
-    records = materialized(marks.join(heads, ["side", "n", "f1", "f2"]).select("side", "key", "n", "representative").withColumn("rid", F.monotonically_increasing_id()), "records")
+    records = materialized(marks.join(heads, ["side", "n", "f1", "f2"]).select("side", "key", "n", "representative").withColumn("rid", F.monotonically_increasing_id() + F.col("side") * F.lit(1 << 62)), "records")  # of two tables, the left one's come first
     classes = records.select("side", "key", "representative", F.col("n").alias("size"))
 
     largest = records.agg(F.max("n")).first()[0] or 0
@@ -79,30 +84,25 @@ def similar_sets(left: DataFrame, key: str, item: str, threshold: float = 0.8, m
     # r counts from the most frequent value of a record: 1 is the last one in the order.
     placed = with_positions(tokens, ["rid"], [F.col("df").desc(), F.col("tok").desc()], name="r")
 
-    need = F.ceil(F.col("n") * threshold - 1e-9)
-    plen = F.array(*[F.lit(math.ceil((1 - threshold) * (bounds[i + 1] if i + 1 < len(bounds) else bounds[-1] / threshold)) + PREFIX) for i in range(len(bounds) + 1)])
-    prefix = placed.withColumn("need", need).filter(F.col("r") > F.col("need") - PREFIX)
-    prefix = prefix.withColumn("cell", F.explode(F.array("band", F.col("band") + 1)))
-    prefix = prefix.withColumn("frequent", F.col("df") > 2 * F.element_at(plen, F.col("cell") + 1))
-    shown = ["cell", "rid", "side", "n", "band", "r"]
-    none = F.lit(-1).cast("long")
-    singles = prefix.filter(~F.col("frequent") | (F.col("need") < PREFIX)).select(*shown, F.col("tok").alias("k1"), none.alias("k2"))
-    second = prefix.filter("frequent").select("cell", "rid", F.col("r").alias("r2"), F.col("tok").alias("k2"))
-    combined = prefix.select(*shown, F.col("tok").alias("k1")).join(second, ["cell", "rid"]).filter(F.col("r") > F.col("r2")).select(*shown, "k1", "k2")
-    keys = singles.unionByName(combined)
+    plen = [math.ceil((1 - threshold) * (bounds[i + 1] if i + 1 < len(bounds) else bounds[-1] / threshold)) for i in range(len(bounds) + 1)]
+    chosen = _chosen_lengths(placed, threshold, plen)
+    keys = materialized(reduce(DataFrame.unionByName, [_keys(placed, threshold, plen, n).join(F.broadcast(chosen.filter(F.col("length") == n).select("cell")), "cell") for n in LENGTHS]), "keys")
 
-    a, b = keys.alias("a"), keys.alias("b")
-    same_key = (F.col("a.cell") == F.col("b.cell")) & (F.col("a.k1") == F.col("b.k1")) & (F.col("a.k2") == F.col("b.k2"))
-    order = (F.col("a.side") < F.col("b.side")) if between else (F.col("a.rid") < F.col("b.rid"))
+    key = F.struct("cell", "k1", "k2")
+    cells = in_blocks(keys.withColumn("key", key), "key", "rid")
+    order = (F.col("a.side") < F.col("b.side")) if between else F.lit(True)
     sizes = F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * threshold - 1e-9
     here = ~((F.col("a.band") < F.col("a.cell")) & (F.col("b.band") < F.col("b.cell")))
     needed = F.ceil((F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9)
-    shared = a.join(b, same_key & order & sizes & here).select(
-        F.col("a.rid").alias("ra"), F.col("b.rid").alias("rb"), F.col("a.n").alias("na"), F.col("b.n").alias("nb"),
-        F.when(F.col("a.k2") < 0, 1).otherwise(PREFIX).alias("shown"), F.least("a.r", "b.r").alias("left"),
+    shared = cells.alias("a").join(cells.alias("b"), meeting("key", "rid") & order & sizes & here).select(
+        F.col("a.rid").alias("ra"), F.col("b.rid").alias("rb"), F.col("a.n").alias("na"), F.col("b.n").alias("nb"), F.col("a.length").alias("length"),
+        (F.col("a.k2") < 0).cast("int").alias("one"), F.least("a.r", "b.r").alias("left"),
     )
-    candidates = shared.groupBy("ra", "rb", "na", "nb").agg(F.sum("shown").alias("shown"), F.max("left").alias("left"))
-    candidates = candidates.filter((F.col("shown") >= F.least(F.lit(PREFIX), needed)) & (F.col("left") >= needed)).select("ra", "rb", "na", "nb")
+    candidates = shared.groupBy("ra", "rb", "na", "nb", "length").agg(F.sum("one").alias("s"), F.sum(1 - F.col("one")).alias("t"), F.max("left").alias("left"))
+    # s single values and t = s f + f (f - 1) / 2 combinations of f frequent ones
+    f = F.sqrt(F.pow(F.col("s") - 0.5, 2) + 2 * F.col("t")) - (F.col("s") - 0.5)
+    shown = F.col("s") + F.when(F.col("t") > 0, F.round(f)).otherwise(0)
+    candidates = candidates.filter((shown >= F.least("length", needed)) & (F.col("left") >= needed)).select("ra", "rb", "na", "nb")
 
     # Exact overlap, value by value.
     held = placed.select("rid", "tok")
@@ -118,6 +118,38 @@ def similar_sets(left: DataFrame, key: str, item: str, threshold: float = 0.8, m
     return SimilarSets(pairs, classes)
 
 
+def _keys(placed: DataFrame, threshold: float, plen: list[int], length: int) -> DataFrame:
+    """(cell, rid, side, n, band, r, length, k1, k2) for prefixes of ``length`` extra values; k2 is -1 for single values."""
+    need = F.ceil(F.col("n") * threshold - 1e-9)
+    prefix = placed.withColumn("need", need).filter(F.col("r") > F.col("need") - length)
+    prefix = prefix.withColumn("cell", F.explode(F.array("band", F.col("band") + 1))).withColumn("length", F.lit(length))
+    long = F.element_at(F.array(*[F.lit(x + length) for x in plen]), F.col("cell") + 1)
+    prefix = prefix.withColumn("frequent", F.lit(length > 1) & (F.col("df") > 2 * long))
+    names, none = ["cell", "rid", "side", "n", "band", "r", "length"], F.lit(-1).cast("long")
+    singles = prefix.filter(~F.col("frequent") | (F.col("need") < length)).select(*names, F.col("tok").alias("k1"), none.alias("k2"))
+    if length == 1:
+        return singles
+    second = prefix.filter("frequent").select("cell", "rid", F.col("r").alias("r2"), F.col("tok").alias("k2"))
+    return singles.unionByName(prefix.select(*names, F.col("tok").alias("k1")).join(second, ["cell", "rid"]).filter(F.col("r") > F.col("r2")).select(*names, "k1", "k2"))
+
+
+def pairs_by_length(placed: DataFrame, threshold: float, plen: list[int], looked_at: int = LOOKED_AT) -> DataFrame:
+    """(cell, length, pairs): an estimate of how many pairs the keys of each length have, from one value in ``looked_at``."""
+    counts = []
+    for length in LENGTHS:
+        keys = _keys(placed, threshold, plen, length).filter(F.pmod(F.xxhash64("k1"), F.lit(looked_at)) == 0)
+        held = keys.groupBy("cell", "length", "k1", "k2").agg(F.count("*").cast("double").alias("c"))
+        counts.append(held.groupBy("cell", "length").agg((F.sum(F.col("c") * (F.col("c") - 1) / 2) * looked_at).alias("pairs"), (F.sum("c") * looked_at).alias("keys")))
+    return reduce(DataFrame.unionByName, counts)
+
+
+def _chosen_lengths(placed: DataFrame, threshold: float, plen: list[int]) -> DataFrame:
+    """(cell, length): the length with the fewest pairs and keys together, ties to the shorter one; a row per size band."""
+    cost = pairs_by_length(placed, threshold, plen).groupBy("cell").agg(F.min(F.struct((F.col("pairs") + F.col("keys")).alias("cost"), "length")).alias("best"))
+    bands = placed.select(F.explode(F.array("band", F.col("band") + 1)).alias("cell")).distinct()
+    return materialized(bands.join(cost, "cell", "left").select("cell", F.coalesce("best.length", F.lit(LENGTHS[1])).alias("length")), "lengths")
+
+
 def expanded(found: SimilarSets) -> DataFrame:
     """Every similar pair of records (key_a < key_b), copies written out.
 
@@ -128,5 +160,6 @@ def expanded(found: SimilarSets) -> DataFrame:
     across = found.pairs.select("key_a", "key_b").join(a, "key_a").join(b, "key_b").select("x", "y")
     repeated = found.classes.groupBy("representative").count().filter("count > 1").select("representative")
     copies = of.join(repeated, "representative")
-    within = copies.select("representative", F.col("key").alias("x")).join(copies.select("representative", F.col("key").alias("y")), "representative").filter("x < y").select("x", "y")
+    cells = in_blocks(copies, "representative", "key")
+    within = cells.alias("a").join(cells.alias("b"), meeting("representative", "key")).select(F.col("a.key").alias("x"), F.col("b.key").alias("y"))
     return across.unionByName(within).select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b"))
