@@ -44,9 +44,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a checkpoint in the shared folder; partitions and their order stay."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage by a checkpoint in the shared folder; partitions and their order stay.
+
+    Its files are removed when the driver's Python ends.
+    """
+    spark = df.sparkSession
+    folder = shared_dir(spark)
+    before = _checkpoints(spark, folder)
+    out = df.checkpoint(eager=True)
+    for path in _checkpoints(spark, folder) - before:
+        atexit.register(_remove, spark, path)
+    return out
+
+
+def _checkpoints(spark: SparkSession, folder: str) -> set[str]:
+    sc = spark.sparkContext
+    pattern = sc._jvm.org.apache.hadoop.fs.Path(os.path.join(folder, "rdd-*"))
+    return {str(s.getPath().toString()) for s in pattern.getFileSystem(sc._jsc.hadoopConfiguration()).globStatus(pattern) or []}
 
 
 def materialized(df: DataFrame, name: str = "t") -> DataFrame:
