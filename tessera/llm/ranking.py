@@ -31,6 +31,8 @@ def _changes(columns: list[pa.Array]) -> np.ndarray:
     for c in columns:
         a, b = c.slice(1), c.slice(0, n - 1)
         differs = pc.fill_null(pc.not_equal(a, b), False)
+        if pa.types.is_floating(c.type):  # NaN is one group
+            differs = pc.and_not(differs, pc.fill_null(pc.and_(pc.is_nan(a), pc.is_nan(b)), False))
         nulls = pc.xor(pc.is_null(a), pc.is_null(b))
         out[1:] |= pc.or_(differs, nulls).to_numpy(zero_copy_only=False)
     if n:
@@ -50,7 +52,7 @@ def _number(group: Sequence[str], limit: int | None):
             if group:
                 keys = [batch.column(batch.schema.get_field_index(g)) for g in group]
                 start = _changes(keys)
-                if last is not None and all(k[0].as_py() == v for k, v in zip(keys, last)):
+                if last is not None and repr([k[0].as_py() for k in keys]) == repr(last):
                     start[0] = False
                 last = [k[n - 1].as_py() for k in keys]
             else:
@@ -93,7 +95,7 @@ def with_positions(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     total order within the group, else tied rows get adjacent positions in any order. With
     ``limit`` only rows up to that position are kept; the earlier of them are enough to tell that
     a later row lies beyond, so each partition drops the others before they are written.
-    Null is a group of its own. An empty input gives an empty result. A column ``name`` that
+    Null is a group of its own, and so is NaN. An empty input gives an empty result. A column ``name`` that
     ``df`` already has is replaced; other extra columns come along.
     """
     df = df.drop(name) if name in df.columns else df

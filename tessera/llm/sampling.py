@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from tessera.llm.ranking import with_positions
 
 ROUNDS = 8
+BROADCAST = 100_000  # sampled ids up to which they are broadcast
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -85,9 +86,9 @@ def sample_posts(posts: DataFrame, k: int = 100, seed: int = 0) -> DataFrame:
 
     A post delivered more than once counts once (its earliest arrival); null ids, null lists and
     empty lists are no posts to draw from. Only ids are numbered and permuted; the k rows drawn
-    (a size bounded by ``k``) are then broadcast to fetch the rest of each post.
+    are then broadcast, or joined by shuffle if ``k`` is above ``BROADCAST``, to fetch the rest of each post.
     """
     drawable = posts.filter(F.col("post_id").isNotNull() & (F.size("hashtags") > 0))
     drawn = fixed_size_sample(drawable.select("post_id").distinct(), k, [F.col("post_id")], seed)
-    arrivals = drawable.join(F.broadcast(drawn), "post_id").groupBy("post_id", "slot")
+    arrivals = drawable.join(F.broadcast(drawn) if k <= BROADCAST else drawn, "post_id").groupBy("post_id", "slot")
     return arrivals.agg(F.min_by(F.struct("chunk_no", "hashtags"), F.struct("arrived_at", "chunk_no")).alias("p")).select("post_id", "slot", "p.chunk_no", "p.hashtags")

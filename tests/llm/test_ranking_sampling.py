@@ -84,3 +84,18 @@ def test_posts(spark):
         t(post_id, chunk_no, hashtags, arrived_at)""")
     out = sampling.sample_posts(posts, 10)
     assert sorted((r["post_id"], r["chunk_no"]) for r in out.collect()) == [(1, 0), (2, 0)]
+
+
+def test_nan_is_one_group(spark):
+    rows = [(float("nan"), i) for i in range(40)] + [(1.0, i) for i in range(9)] + [(None, i) for i in range(5)]
+    df = spark.createDataFrame(rows, "g double, i int").repartition(6)
+    found = ranking.with_positions(df, ["g"], [F.col("i")]).collect()
+    assert len(found) == 54 and all(r["position"] == r["i"] + 1 for r in found)
+
+
+def test_a_sample_too_large_to_broadcast_is_the_same(spark, monkeypatch):
+    rows = [(i, 0, [(f"t{i}",)], 0) for i in range(60)]
+    posts = spark.createDataFrame(rows, "post_id long, chunk_no int, hashtags array<struct<text: string>>, arrived_at long")
+    expected = sorted(tuple(r)[:2] for r in sampling.sample_posts(posts, 20, 3).collect())
+    monkeypatch.setattr(sampling, "BROADCAST", 5)
+    assert sorted(tuple(r)[:2] for r in sampling.sample_posts(posts, 20, 3).collect()) == expected and len(expected) == 20
