@@ -8,7 +8,7 @@ are fewest. How a pair of records has to show its L shared prefix values adapts
 
 * a value that is rare for the size of the sets is a join key of its own;
 * a value so frequent that joining on it would give more pairs than there are combinations
-  (``df > 2 * prefix length``) is only joined in combination with a second prefix value, if L > 1.
+  (``df > 2 * prefix length``) is only joined in combination with a second prefix value.
 
 From the numbers of common single keys and common combinations follows how many prefix values a pair
 shares; pairs with less than L, or too few values left, aren't looked at. The others are verified exactly, in
@@ -29,7 +29,7 @@ from tessera.llm.ranking import with_positions
 from tessera.operators.common_pairs import in_blocks, meeting
 from tessera.session import materialized
 
-LENGTHS = (1, 2, 3)
+LENGTHS = (2, 3)  # of 1, nearly every pair of records with a common key would have to be verified
 LOOKED_AT = 16  # the choice of L reads one key in so many; it changes the plan, not the result
 
 
@@ -86,7 +86,7 @@ def similar_sets(left: DataFrame, key: str, item: str, threshold: float = 0.8, m
 
     plen = [math.ceil((1 - threshold) * (bounds[i + 1] if i + 1 < len(bounds) else bounds[-1] / threshold)) for i in range(len(bounds) + 1)]
     chosen = _chosen_lengths(placed, threshold, plen)
-    keys = materialized(reduce(DataFrame.unionByName, [_keys(placed, threshold, plen, n).join(F.broadcast(chosen.filter(F.col("length") == n).select("cell")), "cell") for n in LENGTHS]), "keys")
+    keys = materialized(reduce(DataFrame.unionByName, [_keys(placed, threshold, plen, n, cells=F.broadcast(chosen.filter(F.col("length") == n).select("cell"))) for n in LENGTHS]), "keys")
 
     key = F.struct("cell", "k1", "k2")
     cells = in_blocks(keys.withColumn("key", key), "key", "rid")
@@ -118,26 +118,29 @@ def similar_sets(left: DataFrame, key: str, item: str, threshold: float = 0.8, m
     return SimilarSets(pairs, classes)
 
 
-def _keys(placed: DataFrame, threshold: float, plen: list[int], length: int) -> DataFrame:
-    """(cell, rid, side, n, band, r, length, k1, k2) for prefixes of ``length`` extra values; k2 is -1 for single values."""
+def _keys(placed: DataFrame, threshold: float, plen: list[int], length: int, cells: DataFrame | None = None, looked_at: int = 1) -> DataFrame:
+    """(cell, rid, side, n, band, r, length, k1, k2) for prefixes of ``length`` extra values; k2 is -1 for single values.
+
+    Of all cells or those in ``cells`` (a row per size band), with every k1 or one in ``looked_at``.
+    """
     need = F.ceil(F.col("n") * threshold - 1e-9)
     prefix = placed.withColumn("need", need).filter(F.col("r") > F.col("need") - length)
     prefix = prefix.withColumn("cell", F.explode(F.array("band", F.col("band") + 1))).withColumn("length", F.lit(length))
+    prefix = prefix if cells is None else prefix.join(cells, "cell")
     long = F.element_at(F.array(*[F.lit(x + length) for x in plen]), F.col("cell") + 1)
-    prefix = prefix.withColumn("frequent", F.lit(length > 1) & (F.col("df") > 2 * long))
+    prefix = prefix.withColumn("frequent", F.col("df") > 2 * long)
+    first = prefix if looked_at == 1 else prefix.filter(F.pmod(F.xxhash64("tok"), F.lit(looked_at)) == 0)
     names, none = ["cell", "rid", "side", "n", "band", "r", "length"], F.lit(-1).cast("long")
-    singles = prefix.filter(~F.col("frequent") | (F.col("need") < length)).select(*names, F.col("tok").alias("k1"), none.alias("k2"))
-    if length == 1:
-        return singles
+    singles = first.filter(~F.col("frequent") | (F.col("need") < length)).select(*names, F.col("tok").alias("k1"), none.alias("k2"))
     second = prefix.filter("frequent").select("cell", "rid", F.col("r").alias("r2"), F.col("tok").alias("k2"))
-    return singles.unionByName(prefix.select(*names, F.col("tok").alias("k1")).join(second, ["cell", "rid"]).filter(F.col("r") > F.col("r2")).select(*names, "k1", "k2"))
+    return singles.unionByName(first.select(*names, F.col("tok").alias("k1")).join(second, ["cell", "rid"]).filter(F.col("r") > F.col("r2")).select(*names, "k1", "k2"))
 
 
 def pairs_by_length(placed: DataFrame, threshold: float, plen: list[int], looked_at: int = LOOKED_AT) -> DataFrame:
     """(cell, length, pairs): an estimate of how many pairs the keys of each length have, from one value in ``looked_at``."""
     counts = []
     for length in LENGTHS:
-        keys = _keys(placed, threshold, plen, length).filter(F.pmod(F.xxhash64("k1"), F.lit(looked_at)) == 0)
+        keys = _keys(placed, threshold, plen, length, looked_at=looked_at)
         held = keys.groupBy("cell", "length", "k1", "k2").agg(F.count("*").cast("double").alias("c"))
         counts.append(held.groupBy("cell", "length").agg((F.sum(F.col("c") * (F.col("c") - 1) / 2) * looked_at).alias("pairs"), (F.sum("c") * looked_at).alias("keys")))
     return reduce(DataFrame.unionByName, counts)
@@ -147,7 +150,7 @@ def _chosen_lengths(placed: DataFrame, threshold: float, plen: list[int]) -> Dat
     """(cell, length): the length with the fewest pairs and keys together, ties to the shorter one; a row per size band."""
     cost = pairs_by_length(placed, threshold, plen).groupBy("cell").agg(F.min(F.struct((F.col("pairs") + F.col("keys")).alias("cost"), "length")).alias("best"))
     bands = placed.select(F.explode(F.array("band", F.col("band") + 1)).alias("cell")).distinct()
-    return materialized(bands.join(cost, "cell", "left").select("cell", F.coalesce("best.length", F.lit(LENGTHS[1])).alias("length")), "lengths")
+    return materialized(bands.join(cost, "cell", "left").select("cell", F.coalesce("best.length", F.lit(LENGTHS[0])).alias("length")), "lengths")
 
 
 def expanded(found: SimilarSets) -> DataFrame:

@@ -113,3 +113,11 @@ def test_null_model_keeps_degrees(sizes, close):
     p = np.outer(x, y) / (1 + np.outer(x, y))
     assert (p * baskets["number"].to_numpy()).sum(axis=1) == pytest.approx(items["degree"].to_numpy(), rel=close)
     assert (p * items["number"].to_numpy()[:, None]).sum(axis=0) == pytest.approx(baskets["degree"].to_numpy(), rel=close)
+
+
+@pytest.mark.parametrize("lengths", [(2,), (3,), (2, 3, 5)])
+def test_every_length_finds_all_pairs(spark, monkeypatch, lengths):
+    monkeypatch.setattr(overlap, "LENGTHS", lengths)
+    sets = random_sets(77, 50)
+    expected = {(a, b) for a, b in combinations(sorted(sets), 2) if jaccard(sets[a], sets[b]) >= 0.5}
+    assert {tuple(r) for r in overlap.expanded(overlap.similar_sets(table(spark, sets), "k", "v", 0.5)).collect()} == expected
