@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tessera.session import materialized
 
 LARGEST = 8  # at most so many groups are set aside, so the set is broadcast
+BROADCAST = 100_000  # large groups up to which their list is broadcast
 BLOCK = 1024  # rows of a group that are joined with each other under one key
 
 
@@ -33,7 +34,9 @@ def in_blocks(rows: DataFrame, group: str, key: str, block: int = BLOCK, sizes:
     ``sizes`` (the group, ``__n`` rows at most) spares counting them.
     """
     large = (rows.groupBy(group).agg(F.count("*").alias("__n")) if sizes is None else sizes).filter(F.col("__n") > block)
-    large = large.select(group, F.ceil(F.col("__n") / block).cast("int").alias("__blocks"))
+    large = materialized(large.select(group, F.ceil(F.col("__n") / block).cast("int").alias("__blocks")), "large")
+    if large.count() <= BROADCAST:  # so that the rows needn't be moved to learn that their group is small
+        large = F.broadcast(large)
     placed = rows.join(large, group, "left").withColumn("__blocks", F.coalesce("__blocks", F.lit(1)))
     placed = placed.withColumn("__own", F.pmod(F.xxhash64(key), F.col("__blocks")).cast("int"))
     cells = placed.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))
