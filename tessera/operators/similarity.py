@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import number_of
 from tessera.operators.common_pairs import in_blocks, meeting
+from tessera.operators.packed_pairs import Packed
 from tessera.session import materialized
 
 PRIME = 4294967311  # the first prime above 2^32
@@ -28,25 +29,12 @@ def overlaps(candidates: DataFrame, rows: DataFrame, key: str, item: str) -> Dat
 def jaccard_pairs(rows: DataFrame, key: str, item: str, threshold: float) -> DataFrame:
     """All pairs of keys whose item sets have a Jaccard similarity of at least ``threshold``.
 
-    Inverted-index join on prefixes: with items ordered from rare to frequent, two such sets share
-    an item among the first n - ceil(threshold n) + 1 of each (taken up to whole classes of
-    frequency), so that the most frequent items of a key are not joined on. ``rows`` holds distinct
-    (key, item).
+    Common items are counted exactly by ``Packed``; the most frequent items are not joined on.
+    ``rows`` holds distinct (key, item).
     """
-    rows = materialized(rows, "rows")
-    frequency = rows.groupBy(item).agg(F.count("*").alias("df"))
-    sizes = rows.groupBy(key).agg(F.count("*").alias("size"))
-    # Classes of frequency: exact up to 64, then a quarter of a power of two wide; so a key has few of them, whatever its size.
-    classed = rows.join(frequency, item).withColumn("cls", F.when(F.col("df") <= 64, F.col("df")).otherwise(F.floor(F.log2("df") * 4) + 41).cast("long"))
-    rarer = Window.partitionBy(key).orderBy("cls").rowsBetween(Window.unboundedPreceding, -1)
-    held = classed.groupBy(key, "cls").agg(F.count("*").alias("k")).withColumn("before", F.coalesce(F.sum("k").over(rarer), F.lit(0))).join(sizes, key)
-    reached = held.filter(F.col("before") < F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).select(key, "cls", "size")
-    prefix = classed.filter(F.col("df") > 1).join(reached, [key, "cls"]).select(key, item, "size")
-    cells = in_blocks(prefix, item, key)
-    close = F.least("a.size", "b.size") >= F.greatest("a.size", "b.size") * threshold - 1e-9
-    pairs = cells.alias("a").join(cells.alias("b"), meeting(item, key) & close)
-    candidates = pairs.select(F.col(f"a.{key}").alias("key_a"), F.col(f"b.{key}").alias("key_b")).distinct()
-    return overlaps(candidates, rows, key, item).filter(F.col("similarity") >= threshold)
+    packed = Packed(rows.select(key, item), key, item)
+    found = packed.named(packed.pairs(1, threshold))
+    return found.select("key_a", "key_b", F.col("n").cast("long").alias("overlap"), (F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).alias("similarity"))
 
 
 def hash_constants(n: int, seed: int = 7) -> list[tuple[int, int]]:
