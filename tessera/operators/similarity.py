@@ -3,29 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import number_of
 from tessera.operators.common_pairs import in_blocks, meeting
 from tessera.operators.packed_pairs import Packed
-from tessera.session import materialized
+from tessera.session import dropped, materialized
 
 PRIME = 4294967311  # the first prime above 2^32
 
 
-def overlaps(candidates: DataFrame, rows: DataFrame, key: str, item: str) -> DataFrame:
-    """(key_a, key_b, overlap, similarity) of candidate pairs, counted value by value."""
-    sizes = rows.groupBy(key).agg(F.count("*").alias("size"))
-    of = lambda k: rows.select(F.col(key).alias(k), item)
-    both = candidates.select("key_a", "key_b").join(of("key_a"), "key_a").join(of("key_b"), ["key_b", item])
-    counted = both.groupBy("key_a", "key_b").agg(F.count("*").alias("overlap"))
-    for k, n in (("key_a", "na"), ("key_b", "nb")):
-        counted = counted.join(sizes.select(F.col(key).alias(k), F.col("size").alias(n)), k)
-    return counted.select("key_a", "key_b", "overlap", (F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))).alias("similarity"))
-
-
 def jaccard_pairs(rows: DataFrame, key: str, item: str, threshold: float) -> DataFrame:
     """All pairs of keys whose item sets have a Jaccard similarity of at least ``threshold``.
 
@@ -93,14 +83,40 @@ def with_copies(pairs: DataFrame, sets: DataFrame, key: str) -> DataFrame:
     return across.unionByName(within).select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b"), *rest)
 
 
+def agreeing(pairs: DataFrame, signatures: DataFrame, key: str, bands: int, width: int, chunk: int = 8) -> DataFrame:
+    """Those of ``pairs`` (key_a, key_b, ...) that agree in all ``width`` hashes of at least one of ``bands`` bands.
+
+    The result is that of ``lsh_candidates``, for pairs that are known. ``chunk`` hashes are looked up at once, and only
+    for pairs that agree in no earlier band, so a pair never carries a whole signature.
+    """
+    out, left, step = [], materialized(pairs, "pairs"), max(1, chunk // width)
+    for lo in range(0, bands, step):
+        hi = min(lo + step, bands)
+        names = [f"h{i}" for i in range(lo * width, hi * width)]
+        a, b = (signatures.select(F.col(key).alias(k), *[F.col(h).alias(f"{x}{h}") for h in names]) for k, x in (("key_a", "a"), ("key_b", "b")))
+        bandwise = [reduce(Column.__and__, [F.col(f"ah{i}") == F.col(f"bh{i}") for i in range(n * width, (n + 1) * width)]) for n in range(lo, hi)]
+        met = left.join(a, "key_a").join(b, "key_b").select(*pairs.columns, reduce(Column.__or__, bandwise).alias("__met"))
+        met = materialized(met, "met")
+        dropped(left)
+        out.append(met.filter("__met").drop("__met"))
+        left = met.filter("NOT __met").drop("__met")
+    return reduce(DataFrame.unionByName, out)
+
+
 def lsh_pairs(rows: DataFrame, key: str, item: str, threshold: float, constants: Sequence[tuple[int, int]], width: int = 1, sets: DataFrame | None = None) -> DataFrame:
     """MinHash candidates with their exact similarity, where it reaches ``threshold``: no false pairs, some missed.
 
     Exact copies have one pair with their head; ``with_copies`` writes the others out. ``sets`` is
     their membership from ``equal_sets``, found here if it isn't given (``rows`` is then written once).
+    Of the candidates, many times as many as similar pairs where an item is in many sets, none is written
+    out: the pairs that reach ``threshold`` are counted first, and kept where their signatures agree.
     """
     if sets is None:
         rows = materialized(rows, "rows")
         sets = materialized(equal_sets(rows, key, item), "sets")
-    candidates = lsh_candidates(minhash_signatures(rows, key, item, constants), key, len(constants) // width, width, sets)
-    return overlaps(candidates, rows, key, item).filter(F.col("similarity") >= threshold)
+    own = materialized(rows.join(sets.filter(F.col(key) == F.col("head")).select(key), key, "left_semi"), "heads")
+    signed = materialized(minhash_signatures(own, key, item, constants), "signatures")
+    found = agreeing(jaccard_pairs(own, key, item, threshold), signed, key, len(constants) // width, width)
+    size = rows.groupBy(F.col(key).alias("key_b")).agg(F.count("*").alias("overlap"))
+    copies = sets.filter(F.col(key) != F.col("head")).select(F.col("head").alias("key_a"), F.col(key).alias("key_b")).join(size, "key_b")
+    return found.unionByName(copies.withColumn("similarity", F.lit(1.0)).filter(F.col("similarity") >= threshold))

@@ -36,6 +36,7 @@ def test_pairs_and_common_groups(spark, monkeypatch, block, size):
 def test_no_rows(spark):
     rows = spark.createDataFrame([], "k string, g string")
     assert Packed(rows, "k", "g").pairs(1, 0.1).count() == 0
+    assert similarity.lsh_pairs(rows, "k", "g", 0.1, similarity.hash_constants(4), 2).count() == 0
 
 
 def moved(spark, df):
@@ -64,3 +65,8 @@ def hot(spark):
 def test_jaccard_writes_no_pairs_of_a_hot_item(spark, hot):
     mb, n = moved(spark, lambda: similarity.jaccard_pairs(hot, "business_id", "user_id", 0.1))
     assert n == 2999 and mb < 10
+
+
+def test_lsh_writes_no_candidates_of_a_hot_item(spark, hot):
+    mb, n = moved(spark, lambda: similarity.lsh_pairs(hot, "business_id", "user_id", 0.05, similarity.hash_constants(20)))
+    assert 2700 < n <= 4498500 and mb < 40
