@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.common_pairs import pairs_in_common
+from tessera.operators.packed_pairs import Packed
 from tessera.session import dropped, materialized
 
 STEPS = 1e9  # edges^2 x nodes up to which a component is peeled within one task: at most some minutes
@@ -19,8 +19,9 @@ STEPS = 1e9  # edges^2 x nodes up to which a component is peeled within one task
 
 def coreview_edges(rows: DataFrame, threshold: int) -> DataFrame:
     """(src, dst, common): users with at least ``threshold`` common businesses; ``rows`` is distinct (user_id, business_id)."""
-    pairs = pairs_in_common(rows, "business_id", "user_id", threshold)
-    return pairs.select(F.col("key_a").alias("src"), F.col("key_b").alias("dst"), F.col("n").alias("common"))
+    packed = Packed(rows.select("user_id", "business_id"), "user_id", "business_id", threshold - 1)
+    pairs = packed.named(packed.pairs(threshold))
+    return pairs.select(F.col("key_a").alias("src"), F.col("key_b").alias("dst"), F.col("n").cast("long").alias("common"))
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -116,31 +117,75 @@ def edge_betweenness(edges: DataFrame) -> DataFrame:
     return flows.groupBy(F.least("node", "child").alias("src"), F.greatest("node", "child").alias("dst")).agg(F.round(F.sum("flow") / 2, 9).alias("value"))
 
 
+def _stripped(near: dict, nodes) -> tuple[list[tuple], dict]:
+    """The edges of the trees that hang on the cycles of one component, as (node, rest, weight), and the weights of the nodes that are left.
+
+    A weight counts the node and what hung on it. Of a tree one node is left.
+    """
+    degree, weight, trees = {v: len(near[v]) for v in nodes}, dict.fromkeys(nodes, 1), []
+    leaves = [v for v, d in degree.items() if d == 1]
+    while leaves:
+        v = leaves.pop()
+        if degree[v] != 1:  # the last node of a tree
+            continue
+        w = next(x for x in near[v] if x in weight)
+        trees.append((v, w, weight[v]))
+        weight[w] += weight.pop(v)
+        degree[v], degree[w] = 0, degree[w] - 1
+        if degree[w] == 1:
+            leaves.append(w)
+    return trees, weight
+
+
 def _credits(near: dict, nodes) -> dict:
-    """Betweenness of the edges among ``nodes``, in memory."""
+    """Betweenness of the edges among ``nodes``, whole components, in memory.
+
+    The paths over an edge of a tree are all those between its two sides; only the nodes on and between cycles are searched from.
+    """
     value: dict = {}
-    for s in nodes:
-        level, paths, order, queue = {s: 0}, {s: 1.0}, [], deque([s])
-        while queue:
-            v = queue.popleft()
-            order.append(v)
-            for w in near[v]:
-                if w not in level:
-                    level[w], paths[w] = level[v] + 1, 0.0
-                    queue.append(w)
-                if level[w] == level[v] + 1:
-                    paths[w] += paths[v]
-        gain = dict.fromkeys(order, 1.0)
-        for w in reversed(order):
-            for v in near[w]:
-                if level[v] == level[w] - 1:
-                    flow = gain[w] * paths[v] / paths[w]
-                    gain[v] += flow
-                    e = (v, w) if v < w else (w, v)
-                    value[e] = value.get(e, 0.0) + flow
+    left = set(nodes)
+    while left:
+        own = _reach(near, next(iter(left)))
+        left -= own
+        trees, weight = _stripped(near, own)
+        for v, w, n in trees:
+            value[(v, w) if v < w else (w, v)] = 2.0 * n * (len(own) - n)
+        if len(weight) == 1:
+            continue
+        core = {v: [w for w in near[v] if w in weight] for v in weight}
+        for s in core:
+            level, paths, order, queue = {s: 0}, {s: 1.0}, [], deque([s])
+            while queue:
+                v = queue.popleft()
+                order.append(v)
+                for w in core[v]:
+                    if w not in level:
+                        level[w], paths[w] = level[v] + 1, 0.0
+                        queue.append(w)
+                    if level[w] == level[v] + 1:
+                        paths[w] += paths[v]
+            gain = {v: float(weight[v]) for v in order}
+            for w in reversed(order):
+                for v in core[w]:
+                    if level[v] == level[w] - 1:
+                        flow = gain[w] * paths[v] / paths[w]
+                        gain[v] += flow
+                        e = (v, w) if v < w else (w, v)
+                        value[e] = value.get(e, 0.0) + flow * weight[s]
     return {e: round(x / 2, 9) for e, x in value.items()}
 
 
+def _work(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(component, work): about the steps that ``_peel`` takes for one component."""
+    near: dict = {}
+    for a, b in zip(pdf["src"], pdf["dst"]):
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    trees, weight = _stripped(near, list(near))
+    k, v = len(pdf), len(near)
+    return pd.DataFrame({"component": [pdf["component"].iloc[0]], "work": [float(k) * (k + v + (k - len(trees)) * len(weight))]})
+
+
 def _reach(near: dict, start) -> set:
     seen, queue = {start}, [start]
     while queue:
@@ -237,8 +282,8 @@ def girvan_newman(edges: DataFrame, steps: float = STEPS) -> DataFrame:
     and their removals merged into the global order: an edge is removed as soon as it is the
     highest among the components' next ones, i.e. in the order of the smallest value up to it. Ties
     go to the smaller edge; among equal modularities the earlier partition wins. The removals within
-    a component follow from one another, about E x V x E steps in all. A component of up to ``steps`` of
-    them is peeled by one task, as many at once as there are tasks; beyond that every removal is
+    a component follow from one another, about E x V x E steps in all, where E x V are those on and between
+    cycles: trees take E x E. A component of up to ``steps`` of them is peeled by one task, as many at once as there are tasks; beyond that every removal is
     a distributed search, with the same result.
     """
     spark = edges.sparkSession
@@ -247,8 +292,11 @@ def girvan_newman(edges: DataFrame, steps: float = STEPS) -> DataFrame:
     placed = materialized(edges.join(parts.select(F.col("node").alias("src"), "component"), "src"), "placed")
     m = edges.count()
     sizes = placed.groupBy("component").agg(F.count("*").cast("double").alias("k")).join(parts.groupBy("component").agg(F.count("*").alias("v")), "component")
-    sizes = materialized(sizes.withColumn("large", F.col("k") * F.col("k") * F.col("v") > steps), "sizes")
     kind = edges.schema["src"].dataType.simpleString()
+    sizes = materialized(sizes.withColumn("large", F.col("k") * F.col("k") * F.col("v") > steps), "sizes")
+    unclear = sizes.filter(F.col("large") & (F.col("k") * (F.col("k") + F.col("v")) <= steps)).select("component")  # trees need no more than that
+    work = placed.join(unclear, "component", "left_semi").groupBy("component").applyInPandas(_work, f"component {kind}, work double")
+    sizes = materialized(sizes.join(work, "component", "left").withColumn("large", F.col("large") & (F.coalesce("work", F.lit(float("inf"))) > steps)), "sizes")
     schema = f"component {kind}, seq long, value double, src {kind}, dst {kind}, gain double"
     small = placed.join(sizes.filter("NOT large").select("component"), "component", "left_semi")
     removed = small.withColumn("m", F.lit(float(max(m, 1)))).groupBy("component").applyInPandas(_peel, schema)

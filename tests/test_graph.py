@@ -130,3 +130,10 @@ def test_sums_over_ranges(spark):
         total += v
         expected[i] = total
     assert {r["i"]: r["s"] for r in found.collect()} == expected and found.columns == ["i", "k", "v", "s"]
+
+
+def test_a_large_star_is_peeled_within_a_task(spark, monkeypatch):
+    monkeypatch.setattr(graph, "_peel_distributed", None)  # 1,300 distributed searches
+    edges = spark.createDataFrame([("a", f"b{i:04}") for i in range(1300)] + [("x", "y")], "src string, dst string")
+    labels = {r["node"]: r["component"] for r in graph.girvan_newman(edges).collect()}
+    assert len(labels) == 1303 and {labels["x"], labels["y"]} == {"x"} and {labels[v] for v in labels if v not in "xy"} == {"a"}
