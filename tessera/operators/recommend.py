@@ -7,46 +7,43 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.common_pairs import pairs_in_common
+from tessera.operators.common_pairs import LARGEST
+from tessera.operators.packed_pairs import Packed
 from tessera.session import materialized
 
 
-def _pearson(ratings: DataFrame, key: str, other: str, min_common: int) -> DataFrame:
+def _pearson(ratings: DataFrame, key: str, other: str, min_common: int, least: int = 2, share: float = 0.0) -> DataFrame:
     """(key_a, key_b, n, sim): Pearson correlation over common ratings, where it is positive.
 
     A user who rated a business more than once meets another rating each time; repeated ratings
-    are summed per (user, business) first and count by the product of their numbers.
+    are summed per (user, business) first and count by the product of their numbers. Pairs that share
+    one user or business only have a correlation of zero, however often its ratings are repeated: every
+    rating of one side meets every one of the other. So ``least`` is at least 2; it and ``share`` are the
+    number and Jaccard share of the common users or businesses, those without stars among them.
     """
-    cells = ratings.select("user_id", "business_id", F.col("stars").cast("double").alias("r")).dropna()
-    cells = cells.groupBy("user_id", "business_id").agg(F.count("*").alias("c"), F.sum("r").alias("s"), F.sum(F.col("r") * F.col("r")).alias("q"))
-    sums = {"sx": F.col("a.s") * F.col("b.c"), "sy": F.col("a.c") * F.col("b.s"), "sxy": F.col("a.s") * F.col("b.s"), "sxx": F.col("a.q") * F.col("b.c"), "syy": F.col("a.c") * F.col("b.q")}
-    met = pairs_in_common(cells, other, key, min_common, sums, weight="c")
+    r = F.when(~F.isnan("stars"), F.col("stars")).alias("r")
+    cells = ratings.select("user_id", "business_id", F.col("stars").cast("double").alias("stars")).select("user_id", "business_id", r)
+    cells = cells.groupBy("user_id", "business_id").agg(F.count("r").alias("c"), F.coalesce(F.sum("r"), F.lit(0.0)).alias("s"), F.coalesce(F.sum(F.col("r") * F.col("r")), F.lit(0.0)).alias("q"))
+    packed = Packed(cells, key, other, LARGEST if share else least - 1)
+    side = lambda x: packed.cells.select(F.col("id").alias(x), "g", *[F.col(k).alias(f"{x}_{k}") for k in "csq"])
+    met = packed.common(max(least, 2), share).join(side("a"), ["a", "g"]).join(side("b"), ["b", "g"])
+    sums = {"n": "a_c * b_c", "sx": "a_s * b_c", "sy": "a_c * b_s", "sxy": "a_s * b_s", "sxx": "a_q * b_c", "syy": "a_c * b_q"}
+    met = met.groupBy("a", "b").agg(*[F.sum(F.expr(e)).alias(k) for k, e in sums.items()]).filter(F.col("n") >= min_common)
     vx, vy = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"), F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")
     # a side without variance has no correlation: the division then gives null, which no comparison keeps
     sim = F.try_divide(F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy"), F.sqrt(vx * vy))
-    return met.filter((vx > 1e-9) & (vy > 1e-9)).withColumn("sim", F.round(sim, 9)).filter(F.col("sim") > 0).select("key_a", "key_b", "n", "sim")
+    met = met.filter((vx > 1e-9) & (vy > 1e-9)).withColumn("sim", F.round(sim, 9)).filter(F.col("sim") > 0)
+    return packed.named(met.select("a", "b", "n", "sim")).select("key_a", "key_b", "n", "sim")
 
 
 def item_model(ratings: DataFrame, min_common: int = 3) -> DataFrame:
     """(b1, b2, sim) with b1 > b2: businesses with at least ``min_common`` common ratings and a positive correlation."""
-    return _pearson(ratings, "business_id", "user_id", min_common).select(F.col("key_b").alias("b1"), F.col("key_a").alias("b2"), "sim")
+    return _pearson(ratings.select("user_id", "business_id", "stars").dropna(), "business_id", "user_id", min_common).select(F.col("key_b").alias("b1"), F.col("key_a").alias("b2"), "sim")
 
 
-def user_model(ratings: DataFrame, min_common: int = 3, min_jaccard: float = 0.01, candidates: DataFrame | None = None) -> DataFrame:
-    """(u1, u2, sim) with u1 < u2: users with enough common businesses, by number and Jaccard share, and a positive correlation.
-
-    ``candidates`` (key_a, key_b), such as those of MinHash, restrict the pairs; without, all are found.
-    """
-    ratings = materialized(ratings, "ratings")
-    rated = ratings.select("user_id", "business_id").dropna().distinct()
-    size = rated.groupBy("user_id").agg(F.count("*").alias("size"))
-    common = pairs_in_common(rated, "business_id", "user_id", min_common)
-    for k, n in (("key_a", "na"), ("key_b", "nb")):
-        common = common.join(size.select(F.col("user_id").alias(k), F.col("size").alias(n)), k)
-    close = common.filter(F.col("n") / (F.col("na") + F.col("nb") - F.col("n")) >= min_jaccard).select("key_a", "key_b")
-    if candidates is not None:
-        close = close.join(candidates.select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b")), ["key_a", "key_b"], "left_semi")
-    return _pearson(ratings, "user_id", "business_id", min_common).join(close, ["key_a", "key_b"], "left_semi").select(F.col("key_a").alias("u1"), F.col("key_b").alias("u2"), "sim")
+def user_model(ratings: DataFrame, min_common: int = 3, min_jaccard: float = 0.01) -> DataFrame:
+    """(u1, u2, sim) with u1 < u2: users with enough common businesses, by number and Jaccard share, and a positive correlation."""
+    return _pearson(ratings, "user_id", "business_id", min_common, min_common, min_jaccard).select(F.col("key_a").alias("u1"), F.col("key_b").alias("u2"), "sim")
 
 
 def _cells(ratings: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import packed_pairs, similarity
+from tessera.operators import packed_pairs, recommend, similarity
 from tessera.operators.packed_pairs import Packed
 
 BOUNDS = ((1, 0.0), (1, 0.2), (1, 0.5), (2, 0.0), (3, 0.1))
@@ -70,3 +70,10 @@ def test_jaccard_writes_no_pairs_of_a_hot_item(spark, hot):
 def test_lsh_writes_no_candidates_of_a_hot_item(spark, hot):
     mb, n = moved(spark, lambda: similarity.lsh_pairs(hot, "business_id", "user_id", 0.05, similarity.hash_constants(20)))
     assert 2700 < n <= 4498500 and mb < 40
+
+
+def test_pearson_writes_no_pairs_of_a_hot_user_that_rates_twice(spark, hot):
+    stars = hot.withColumn("stars", F.pmod(F.xxhash64("user_id", "business_id"), F.lit(5)) + 1.0)
+    twice = stars.filter("user_id = 'hot'").withColumn("stars", F.lit(5.0))
+    mb, n = moved(spark, lambda: recommend.item_model(stars.unionByName(twice).unionByName(twice)))
+    assert 0 < n <= 2999 and mb < 10
