@@ -1,8 +1,9 @@
 """Pairs of keys by the number of groups they share, with keys as numbers and the pairs of a group as lists.
 
 Writing out every pair of every group as a row costs some hundred bytes a pair. Here keys are numbered densely, a group is the
-sorted list of its numbers, and what is moved for a key is the rest of each list behind it: four bytes a pair. All lists of a
-key meet in one task, which counts its pairs by sorting. The few largest groups are not written as lists at all: they are bits
+sorted list of its numbers, and a list is moved once to each task that counts pairs of its keys, however many of them it has there:
+four bytes a number, and never more than four bytes a pair. All lists of a key meet in one task, which makes its pairs in slices and
+counts them by sorting. The few largest groups are not written as lists at all: they are bits
 of a mask by key. Numbers are in the order of (mask, size), so both follow from a number by a table of steps, which is small,
 and pairs that share large groups only are ranges of numbers.
 """
@@ -17,10 +18,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.common_pairs import BLOCK, LARGEST
-from tessera.session import materialized
+from tessera.session import dropped, materialized
 
-PAIRS = 2_000_000  # pairs that fall to a task
-SLICE = 4_000_000  # pairs that are sorted at once, if they are of more than one key
+PAIRS = 2_000_000  # pairs that fall to a task while there are few tasks; pairs of ranges, which a task holds at once
+WAYS, MOST = 24, 32_000_000  # from so many tasks on, so many pairs of lists fall to a task: each one more moves the lists once more
+SLICE = 2_000_000  # pairs that are sorted at once, if they are of more than one key, and numbers of lists that are sent on at once
 POP = np.array([bin(i).count("1") for i in range(1 << LARGEST)], dtype=np.int64)
 
 
@@ -41,6 +43,7 @@ class Packed:
         light = materialized(groups.withColumn("__g", F.monotonically_increasing_id()), "groups")
         groups = light.unionByName(heavy.withColumnRenamed("__h", "__g"))
         self.cells = materialized(rows.join(self.keys.select(F.col("__key").alias(key), F.col("id").alias("__id")), key).join(groups, group).drop(key, group).withColumnsRenamed({"__id": "id", "__g": "g"}), "cells")
+        dropped(rows, light)
         steps = self.keys.groupBy("mask", "size").agg(F.min("id").alias("first"), F.max("id").alias("last")).orderBy("first").collect()
         self.steps = {k: np.array([r[k] for r in steps], dtype=np.int64) for k in ("mask", "size", "first", "last")}
 
@@ -59,24 +62,27 @@ class Packed:
     def _met(self, least: int, share: float, groups: bool) -> DataFrame:
         spark, steps = self.keys.sparkSession, self.steps
         lists = materialized(self.cells.filter("g >= 0").groupBy("g").agg(F.sort_array(F.collect_list("id")).alias("l")).filter(F.size("l") > 1), "lists")
-        total = lists.agg(F.sum(F.size("l").cast("double") * (F.size("l") - 1) / 2)).first()[0] or 0
+        listed = lists.agg(F.sum(F.size("l").cast("double") * (F.size("l") - 1) / 2)).first()[0] or 0
         ranges = self._ranges(least, share)
-        total += sum((b - a + 1) * (d - c + 1) for a, b, c, d in ranges)
-        whole = lists.filter(F.size("l") <= BLOCK).select("g", "l", F.lit(0).alias("from"), (F.size("l") - 2).alias("to"))
-        cut = lists.filter(F.size("l") > BLOCK).select("g", "l", F.explode(F.sequence(F.lit(0), F.size("l") - 2, F.lit(BLOCK))).alias("from"))
-        cut = cut.withColumn("to", F.least(F.col("from") + BLOCK - 1, F.size("l") - 2)).repartition(F.col("g"), F.col("from"))  # a large list is for several tasks
-        rest = [x.withColumn("i", F.explode(F.sequence("from", "to"))).select(F.col("l")[F.col("i")].alias("a"), "g", F.slice("l", F.col("i") + 2, F.size("l")).alias("rest")) for x in (whole, cut)]
-        moved = rest[0].unionByName(rest[1]).withColumns({"first": F.lit(0), "last": F.lit(-1)})
+        ranged = sum((b - a + 1) * (d - c + 1) for a, b, c, d in ranges)
+        tasks = max(1, -int(-(listed + ranged) // PAIRS))
+        if tasks > WAYS:
+            tasks = max(WAYS, -int(-listed // MOST), -int(-ranged // PAIRS))
+
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield from _spread(batch, tasks)
+
+        moved = lists.repartition("g").mapInArrow(spread, "t int, g long, own array<int>, l array<int>").withColumns({"first": F.lit(0), "last": F.lit(-1)})
         if ranges:
             r = spark.createDataFrame(ranges, "x int, y int, first int, last int").withColumn("a", F.explode(F.sequence("x", "y")))
-            r = r.select("a", F.lit(-1).cast("long").alias("g"), F.array().cast("array<int>").alias("rest"), F.greatest("first", F.col("a") + 1).alias("first"), "last")
+            r = r.select((F.col("a") % tasks).alias("t"), F.lit(-1).cast("long").alias("g"), F.array(F.lit(0)).alias("own"), F.array("a").alias("l"), F.greatest("first", F.col("a") + 1).alias("first"), "last")
             moved = moved.unionByName(r)
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from _count(batches, steps, least, share, groups)
 
-        placed = moved.repartition(max(1, -int(-total // PAIRS)), "a")
-        return placed.mapInArrow(count, "a int, b int, g long" if groups else "a int, b int, n int")
+        return moved.repartitionById(tasks, "t").mapInArrow(count, "a int, b int, g long" if groups else "a int, b int, n int")
 
     def pairs(self, least: int = 1, share: float = 0.0) -> DataFrame:
         """(a, b, n), numbers of keys with ``least`` common groups or more that are ``share`` of all groups of both."""
@@ -110,25 +116,52 @@ def _numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     return placed.withColumn("__p", part).join(F.broadcast(starts), "__p").withColumn(name, at.cast("int")).drop("__p", "__before", "__at")
 
 
+def _spread(batch: pa.RecordBatch, tasks: int) -> Iterator[pa.RecordBatch]:
+    """(t, g, own, l) of lists (g, l): for each task t = number % tasks the list from its first number on, and where its numbers are in it."""
+    g, lists = batch.column("g").to_numpy(zero_copy_only=False), batch.column("l")
+    m = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(m)), m)
+    at = np.arange(len(flat)) - np.repeat(np.cumsum(m) - m, m)
+    has = np.flatnonzero(at < m[row] - 1)  # behind the last number there is none
+    by = has[np.argsort(row[has] * tasks + flat[has] % tasks, kind="stable")]
+    heads = np.flatnonzero(np.append(True, np.diff(row[by] * tasks + flat[by] % tasks) != 0)) if len(by) else by
+    head, sizes = by[heads], np.diff(np.append(heads, len(by)))
+    own = (at[by] - np.repeat(at[head], sizes)).astype(np.int32)
+    left = m[row[head]] - at[head]
+    ends, lo = np.cumsum(left), 0
+    while lo < len(head):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE, "right")))
+        n = left[lo:hi]
+        numbers = flat[np.repeat(head[lo:hi] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        mine = own[heads[lo] : heads[lo] + sizes[lo:hi].sum()]
+        parts = [pa.ListArray.from_arrays(np.append(0, np.cumsum(k)).astype(np.int32), pa.array(v)) for k, v in ((sizes[lo:hi], mine), (n, numbers))]
+        yield pa.RecordBatch.from_arrays([pa.array((flat[head[lo:hi]] % tasks).astype(np.int32)), pa.array(g[row[head[lo:hi]]]), *parts], ["t", "g", "own", "l"])
+        lo = hi
+
+
 def _count(batches: Iterator[pa.RecordBatch], steps: dict, least: int, share: float, groups: bool) -> Iterator[pa.RecordBatch]:
     """Counts the pairs of a partition, which holds all lists of its keys, in slices of whole keys."""
-    held = []
+    held, size = [], 0
     for batch in batches:
-        a, g, first, last = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("a", "g", "first", "last"))
-        rest = batch.column("rest")
-        n = rest.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        flat = rest.flatten().to_numpy(zero_copy_only=False)
-        span = np.maximum(last.astype(np.int64) - first + 1, 0)
+        g, first, last = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("g", "first", "last"))
+        (own, q), (m, flat) = ((x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), x.flatten().to_numpy(zero_copy_only=False)) for x in (batch.column("own"), batch.column("l")))
+        row = np.repeat(np.arange(len(g)), own)
+        start = (np.cumsum(m) - m)[row] + q
+        a, n = flat[start].astype(np.int64), m[row] - q - 1
+        start += 1
+        span = np.maximum(last.astype(np.int64) - first + 1, 0)[row]
         if span.any():  # a range instead of a list
-            whole = np.repeat(first - (np.cumsum(span) - span), span) + np.arange(span.sum())
-            flat, at = np.concatenate([flat, whole]), np.argsort(np.concatenate([np.repeat(np.arange(len(a)), n), np.repeat(np.arange(len(a)), span)]), kind="stable")
-            flat, n = flat[at], n + span
-        held.append((a.astype(np.int64), g.astype(np.int64), n, flat.astype(np.int32), (span == 0).astype(np.int64)))
+            start = np.where(span > 0, len(flat) + np.cumsum(span) - span, start)
+            flat = np.concatenate([flat, np.repeat(first[row] - (np.cumsum(span) - span), span) + np.arange(span.sum())])
+            n += span
+        held.append((a, g[row].astype(np.int64), n, start + size, flat.astype(np.int32), (span == 0).astype(np.int64)))
+        size += len(flat)
     if not held:
         return
-    a, g, n, flat, weight = (np.concatenate(x) for x in zip(*held))
+    a, g, n, start, flat, weight = (np.concatenate(x) for x in zip(*held))
     held.clear()
-    start, order = np.cumsum(n) - n, np.argsort(a, kind="stable")
+    order = np.argsort(a, kind="stable")
     ends = np.cumsum(n[order])
     turns = np.append(np.flatnonzero(np.diff(a[order])) + 1, len(order))  # where a key ends
     lo = 0

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators import packed_pairs, recommend, similarity
 from tessera.operators.packed_pairs import Packed
+from tessera.plans import queries
+from tests.conftest import DATA
 
 BOUNDS = ((1, 0.0), (1, 0.2), (1, 0.5), (2, 0.0), (3, 0.1))
 
@@ -77,3 +79,33 @@ def test_pearson_writes_no_pairs_of_a_hot_user_that_rates_twice(spark, hot):
     twice = stars.filter("user_id = 'hot'").withColumn("stars", F.lit(5.0))
     mb, n = moved(spark, lambda: recommend.item_model(stars.unionByName(twice).unionByName(twice)))
     assert 0 < n <= 2999 and mb < 10
+
+
+def test_a_list_is_moved_once_to_a_task(spark):
+    """3,000 users with ten of 30 businesses each: 15 million pairs of users meet, which took four bytes each."""
+    own = spark.range(3000).select(F.concat(F.lit("u"), "id").alias("user_id"), F.explode(F.sequence(F.lit(0), F.lit(29))).alias("b"), "id")
+    rows = own.filter(F.pmod(F.xxhash64("id", "b"), F.lit(3)) == 0).select("user_id", F.concat(F.lit("b"), F.col("b")).alias("business_id"), F.pmod(F.xxhash64("b", "id"), F.lit(5)) + 1.0)
+    mb, n = moved(spark, lambda: recommend.user_model(rows.toDF("user_id", "business_id", "stars").cache(), min_jaccard=0.75))
+    assert 0 < n < 2000 and mb < 15
+
+
+@pytest.mark.parametrize("ways, most", [(1, 1), (3, 200), (24, 32_000_000)])
+def test_any_number_of_tasks_gives_all_pairs(spark, monkeypatch, ways, most):
+    for name, value in (("PAIRS", 50), ("WAYS", ways), ("MOST", most), ("SLICE", 40)):
+        monkeypatch.setattr(packed_pairs, name, value)
+    rng = random.Random(2)
+    rows = {(k, rng.randrange(12)) for k in range(50) for _ in range(4)}
+    sets = defaultdict(set)
+    for k, g in rows:
+        sets[k].add(g)
+    expected = {(a, b): len(sets[a] & sets[b]) for a, b in combinations(sorted(sets), 2) if len(sets[a] & sets[b]) > 1}
+    packed = Packed(spark.createDataFrame(sorted(rows), "k int, g int"), "k", "g", 0)
+    found = packed.named(packed.pairs(2)).collect()
+    assert len(found) == len(expected) and {(r["key_a"], r["key_b"]): r["n"] for r in found} == expected
+
+
+@pytest.mark.parametrize("query", ["predict_user"])
+def test_predictions_clean_the_reviews_once(spark, monkeypatch, query):
+    calls, plain = [], queries._ratings
+    monkeypatch.setattr(queries, "_ratings", lambda *a: calls.append(a) or plain(*a))
+    assert queries.QUERIES[query](spark, DATA).count() >= 0 and len(calls) == 1
